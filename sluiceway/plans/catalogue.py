@@ -1,15 +1,41 @@
-"""Registry of the change-event queries."""
+"""Registry of the change-event queries: each has a Spark form and, where it can, the same in DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
 
-def queries():
-    return {}
 
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with its SQL."""
 
-def oracle_sql():
-    return {}
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import changes, delivery, operations  # noqa: F401  they register their queries
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
+    return _QUERIES["m00_order_events"](spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_ORACLES)
