@@ -1,7 +1,62 @@
-"""The corpus pipeline; its stages follow as their operators are built."""
+"""The corpus pipeline: quality classifier, exact dedup, n-gram Jaccard join, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of the
+next one.  All but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+
+from sluiceway.llm import exact_dedup, jaccard_join, packing, pii, quality
+from sluiceway.llm.common import materialize, prepare, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, fitted on labels, scores 0.5 or more."""
+    return quality.keep_good(docs, table(prepare(spark), sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts (but for the case of A-Z) the one with the largest doc_id."""
+    return exact_dedup.keep_first(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a similarity of 0.8 or more on five-word shingles the document with the least doc_id."""
+    prepare(spark)
+    return jaccard_join.keep_one(docs, words=5, num=80, den=100)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the kind in brackets in place of each span found; n_chars follows."""
+    prepare(spark)
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces of token sequences."""
+    import public_tokenizers
+
+    prepare(spark)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return packing.pack(docs, f.read())
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", without_copies),
+    ("n-gram Jaccard join", without_near_copies),
+    ("personal data", without_personal_data),
+    ("packing", packed),
+]
+
+#: Classifier, field and tokenizer aren't SQL; the test compares with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -78,12 +78,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = materialize(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "decisions")
     key = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
     state = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("copies"))
-    odd = materialize(state.filter("not stays or copies > 1"), "odd")  # few beside the rows that simply stay
-    dropped, repeated = odd.filter("not stays"), odd.filter("stays")
-    cond = lambda k: F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (key == F.col("k.text_sha256"))
-    out = docs.join(small(dropped, BROADCAST_ROWS).alias("k"), cond("k"), "left_anti")
+    # few beside the rows that simply stay; names that no column of docs has
+    odd = materialize(state.filter("not stays or copies > 1").select(F.col("doc_id").alias("\x01id"), F.col("text_sha256").alias("\x01sha"), "stays"), "odd")
+    dropped, repeated = (odd.filter(c).select("\x01id", "\x01sha") for c in ("not stays", "stays"))
+    same = F.col("doc_id").eqNullSafe(F.col("\x01id")) & (key == F.col("\x01sha"))
+    out = docs.join(small(dropped, BROADCAST_ROWS), same, "left_anti")
     if repeated.isEmpty():
         return out
-    twice = small(repeated, BROADCAST_ROWS).alias("k")
-    once = out.join(twice, cond("k"), "left_semi").withColumn("\x00key", key).dropDuplicates(["doc_id", "\x00key"]).drop("\x00key")
-    return out.join(twice, cond("k"), "left_anti").unionByName(once)
+    twice = small(repeated, BROADCAST_ROWS)
+    once = out.join(twice, same, "left_semi").withColumn("\x01key", key).dropDuplicates(["doc_id", "\x01key"]).drop("\x01key")
+    return out.join(twice, same, "left_anti").unionByName(once)

@@ -35,12 +35,14 @@ INLINE = {
 #: Elements whose text is never the article's.
 NEVER = {"head", "select", "option", "button", "svg", "math", "object", "canvas", "audio", "video", "datalist", "dialog"}
 BAD, GOOD = {"nav", "footer", "aside", "form", "menu", "fieldset"}, {"article", "main"}
+#: Elements whose parent is what their text belongs to.
+LEAVES = {"p", "li", "ul", "ol", "dl", "td", "th", "tr", "tbody", "table", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "figcaption"}
 #: A start tag that ends an open element of the same kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 #: Log-odds that elements and hints add to the classifier's, and its bound; weights of the smoothness edges.
 INSIDE, OUTSIDE, HINTED, BOUND = 5.0, -6.0, -6.0, 2.5
-ADJACENT, SIBLING = 0.3, 0.7
+ADJACENT, SIBLING = 0.6, 1.2
 #: The classifier is fitted on at most so many pages.
 MAX_TRAIN = 500
 
@@ -74,7 +76,7 @@ def blocks(page: str) -> list[Block]:
             good = [i for i, x in enumerate(names) if x in GOOD]
             inner = good[-1] if good else -1
             tag = next((x for x in reversed(names) if x not in INLINE), "body")
-            parent = next((s[1] for s in reversed(stack) if s[0] not in INLINE and s[0] not in ("p", "li", "td", "th", "tr", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote")), 0)
+            parent = next((s[1] for s in reversed(stack) if s[0] not in INLINE and s[0] not in LEAVES), 0)
             bad = any(x in BAD for x in names) or "header" in names and ("header" in names[:inner] if good else True)
             out.append(Block(text, min(linked, len(text)), parent, tag, bool(good), bad, any(s[2] for s in stack if s[0] not in ("html", "body")), any(x in NEVER for x in names)))
         words, linked = [], 0

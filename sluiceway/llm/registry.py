@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, jaccard_join, line_dedup, packing, pii, quality, sql
+from . import exact_dedup, fingerprint, html_text, jaccard_join, line_dedup, packing, pii, quality, sql, subword, warc
 from .common import prepare, table
 
 
@@ -29,6 +29,29 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations: their length, a checksum of the ids, and whether the ids decode to the text."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    out = subword.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=17, dropout=0.1, source=True)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
+        (F.col("text") == F.coalesce("source", F.lit(""))).alias("lossless"),
+    )
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_email to n_phone count the base spans, as base_sha256 does; n_added counts those that the field adds."""
     found = pii.pii_spans(table(spark, sf_dir, "documents"))
@@ -72,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = [op1_quality, op2_line_dedup, op6_pii, op7_fingerprint, op8_jaccard_join, op9_exact_dedup, op10_packing, pipeline]
+QUERIES = [op1_quality, op2_line_dedup, op3_sentencepiece, op4_html_text, op5_warc, op6_pii, op7_fingerprint, op8_jaccard_join, op9_exact_dedup, op10_packing, pipeline]
 
 
 def queries() -> dict:

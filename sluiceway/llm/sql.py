@@ -19,5 +19,13 @@ with t as (select doc_id, {_LOWER.format("coalesce(text, '')")} as norm from doc
 select doc_id, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
        doc_id = max(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256
 from t
+""",
+    "op5_warc": """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+sized as (select page_id, octet_length(encode(payload)) as payload_bytes, sha1(payload) as payload_digest, max(page_id) over (partition by payload) as holder from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> holder then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> holder then holder end as refers_to
+from sized
 """,
 }
