@@ -13,7 +13,7 @@ if ROOT not in sys.path:
 def spark():
     from pyspark.sql import SparkSession
 
-    os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+    os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.path.join(ROOT, "tests"), os.environ.get("PYTHONPATH", "")])
     tmp = tempfile.mkdtemp(prefix="sluiceway-tests-")
     session = (
         SparkSession.builder.master("local[4]")
