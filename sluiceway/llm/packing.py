@@ -8,6 +8,7 @@ are merged in bundles of neighbouring partitions, so no step holds more than a f
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,6 +27,35 @@ END_ID = 2
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: A word of Latin letters and the marks after it: the pre-tokenizer parts it there, and its letters are composed already.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level pre-tokenizers write a byte as a letter: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Remembered(dict):
+    """Values by word, made when they are first asked for; after so many words only those seen lately stay."""
+
+    def __init__(self, make, words: int):
+        super().__init__()
+        self.make, self.words, self.older = make, words, {}
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.older.get(word)
+        self[word] = value = self.make(word) if value is None else value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.words:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordTokens:
     """Token ids of whole texts by a tokenizer whose normaliser and pre-tokenizer never join what white space parts:
     a text's ids are those of its words, one after the other, so a word is tokenised once while it is remembered."""
@@ -34,28 +64,28 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_str(spec), words
+        self.tokenizer, self.letters = Tokenizer.from_str(spec), byte_letters()
+        self.model = self.tokenizer.model
         self.end = np.array([end_id], "<u4").tobytes()
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.stems = Remembered(self._word, words), Remembered(self._stem, words)
+
+    def _word(self, word: str) -> bytes:
+        if m := PLAIN.fullmatch(word):
+            stem, marks = m.groups()
+            return self.stems[stem.lower()] + (self.known[marks] if marks else b"")
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _stem(self, stem: str) -> bytes:
+        """Lower-case letters go to the model as they are."""
+        told = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(told)], "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian 32-bit numbers."""
-        if len(self.recent) > self.words:
-            self.recent, self.older = {}, self.recent
-        recent, older = self.recent, self.older
-        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = []
-        for w in {w for words in split for w in words}.difference(recent):
-            if (ids := older.get(w)) is None:
-                new.append(w)
-            else:
-                recent[w] = ids
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                recent[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([recent[w] for w in words]) + self.end for words in split]
+        self.known.turn()
+        self.stems.turn()
+        known = self.known
+        return [b"".join([known[w] for w in (t or "").replace("\n", " ").replace("\t", " ").split(" ")]) + self.end for t in texts]
 
 
 class Packer:
