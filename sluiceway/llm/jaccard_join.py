@@ -5,7 +5,7 @@ ordered with rare ones first, and similar sets must share one of their first few
 
 * In a list, entries are in blocks of equal size, by position inside a block; a set skips all blocks whose size, and the
   rest of a block whose positions, leave too little room for the needed overlap.
-* In a long list the least set of a stretch of sizes is its pivot.  Sets verified against the pivot answer for each other:
+* In a long list the set with the fewest shingles of its own, in a stretch of sizes, is the pivot.  Sets verified against the pivot answer for each other:
   sets already in one component need no further look, and the overlaps with the pivot bound the overlap of two sets from
   both sides, so that many pairs are settled without their sets.
 
@@ -167,7 +167,7 @@ def lists(found: DataFrame, num: int, den: int, pivot_from: int) -> DataFrame:
             if not many.any():
                 continue
             at, group = at[many], group[many]
-            n = batch.column("n").to_numpy()[at]
+            n, pos = batch.column("n").to_numpy()[at], batch.column("pos").to_numpy()[at]
             pivot = np.full(len(at), -1)
             starts = np.flatnonzero(np.diff(group, prepend=-1))
             ends = np.append(starts[1:], len(at))
@@ -175,7 +175,7 @@ def lists(found: DataFrame, num: int, den: int, pivot_from: int) -> DataFrame:
                 while b - a >= pivot_from:  # the sets that may be similar to the least one left
                     c = a + int(np.searchsorted(n[a:b], n[a] * den // num, "right"))
                     if c - a >= pivot_from:
-                        pivot[a:c] = at[a]
+                        pivot[a:c] = at[a + int(np.argmin(pos[a:c]))]  # rare shingles come first: it has the fewest of its own
                     a = c
             keep = batch.take(pa.array(at))
             chosen = batch.column("key").take(pa.array(pivot, mask=pivot < 0))
@@ -306,15 +306,15 @@ def verified(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return materialize(both.select("a", "b", "s", "t").mapInArrow(compared, "a binary, b binary, overlap int, linked boolean").distinct(), "verified")
 
 
-def to_pivots(found: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of a class and a pivot that share half of the class's prefix; and of the pivots of the parts of
-    a long list and the least of them.  Which pairs these are decides on speed only."""
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    shared = found.filter("pivot is not null and key <> pivot").groupBy(F.col("key").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+def to_pivots(found: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a class and the pivot that it meets most often; and of the pivots of the parts of a long list
+    and the least of them.  Which pairs these are decides on speed only."""
+    shared = found.filter("pivot is not null and key <> pivot").groupBy(F.col("key").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    best = shared.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b")
     heads = found.filter("salts > 1 and key = pivot").select("token", F.col("key").alias("a")).distinct()
     least = heads.groupBy("token").agg(F.min("a").alias("b"))
     linked = heads.join(least, "token").filter("a <> b").select("a", "b")
-    return materialize(shared.filter(F.col("c") * 2 >= prefix).select("a", "b").union(linked).distinct(), "to-pivots")
+    return materialize(best.union(linked).distinct(), "to-pivots")
 
 
 def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, long_list: int = LONG_LIST, pivot_from: int = PIVOT_FROM) -> DataFrame:
@@ -327,7 +327,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     each = described.filter("key is not null").select("doc_id", "n", "key")
     classes = materialize(each.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
     found = lists(entries(docs, counted(described), words, num, den, long_list), num, den, pivot_from)
-    first = verified(to_pivots(found, num, den), docs, classes, words, num, den)
+    first = verified(to_pivots(found), docs, classes, words, num, den)
     links = first.filter("linked").select("a", "b")
     roots = components(links)
     more = pairs(found, first, roots, num, den)
