@@ -152,7 +152,8 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def lists(found: DataFrame, num: int, den: int, pivot_from: int) -> DataFrame:
-    """The entries of all lists with at least two classes, and the pivot of each (null in a short stretch)."""
+    """The entries of all lists with at least two classes or of several parts, and the pivot of each (null in a short
+    stretch)."""
 
     def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _lists(batches, ["token", "salt"]):
@@ -163,7 +164,7 @@ def lists(found: DataFrame, num: int, den: int, pivot_from: int) -> DataFrame:
             once[1:] |= key[1:] != key[:-1]  # a class comes once from each task
             at = np.flatnonzero(once)
             group = np.cumsum(new[at]) - 1
-            many = np.bincount(group)[group] > 1
+            many = (np.bincount(group)[group] > 1) | (batch.column("salts").to_numpy()[at] > 1)  # parts of a long list meet later
             if not many.any():
                 continue
             at, group = at[many], group[many]
