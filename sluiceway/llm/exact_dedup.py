@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, small
 
-#: A chunk ends at the first sentence end after MIN code points, or has MAX code points (or what is left).
-MIN_CHUNK, MAX_CHUNK = 1024, 4096
+#: A chunk ends after MIN code points or more where a word begins with such letters (one word in some thirty), so that cuts
+#: follow the content and meet again after an insertion; or it has MAX code points, or what is left.
+MIN_CHUNK, MAX_CHUNK, MARK = 256, 4096, "[a-d][n-z][a-h]"
 #: Broadcast the list of dropped rows up to this many rows (two longs and a digest: under 100 MB), else shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
 def chunk_pattern(least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> str:
-    return f"(?s).{{{least},{most - 2}}}?[.!?][ \\n]|.{{1,{most}}}"
+    return f"(?s).{{{least},{most - 1}}}?[ \\n](?={MARK})|.{{1,{most}}}"
 
 
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
