@@ -1,38 +1,36 @@
 """Binlog events to row changes.
 
 Input is one row per event (see model.BINLOG), seq being the place in its source's log.  Log files and table maps are
-carried forward by windows; each is partitioned by source (and table id), and only control rows are sorted with others.
+carried forward block by block (functions.carry), so that a source or table with most of the rows is spread over tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions.carry import BLOCK, carry_forward
 
 ROWS = {"WRITE_ROWS": "INSERT", "UPDATE_ROWS": "UPDATE", "DELETE_ROWS": "DELETE"}
 
 
-def with_file(events: DataFrame) -> DataFrame:
+def with_file(events: DataFrame, block: int = BLOCK) -> DataFrame:
     """The log file of each event: that of the last ROTATE before it in its source."""
-    w = Window.partitionBy("source").orderBy("seq")
-    return events.withColumn("file", F.last("rotate_file", ignorenulls=True).over(w))
+    return carry_forward(events, ["source"], "seq", F.col("rotate_file"), "file", block=block)
 
 
-def with_table_map(events: DataFrame) -> DataFrame:
+def with_table_map(events: DataFrame, block: int = BLOCK) -> DataFrame:
     """db, table and column_types of each row event from the last TABLE_MAP of its id before it; null if there is none."""
-    w = Window.partitionBy("source", "table_id").orderBy("seq")
     known = F.when(F.col("event_type") == "TABLE_MAP", F.struct("db", "table", "column_types", F.col("seq").alias("map_seq")))
-    return events.withColumn("map", F.last(known, ignorenulls=True).over(w))
+    return carry_forward(events, ["source", "table_id"], "seq", known, "map", block=block)
 
 
-def table_maps(events: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+def table_maps(events: DataFrame, catalog: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Each TABLE_MAP event with what it changes: first (no map of this id before), drift (other type codes than the one
     before; never at the first), refresh (names are looked up: first, drift, or the last look-up found none), names (of the
     catalog by position, null if there are none) and fallback (a look-up found none)."""
-    w = Window.partitionBy("source", "table_id").orderBy("seq")
     maps = events.filter("event_type = 'TABLE_MAP'").select("source", "seq", "table_id", "db", "table", "column_types")
-    maps = maps.withColumn("before", F.lag("column_types").over(w))
+    maps = carry_forward(maps, ["source", "table_id"], "seq", F.col("column_types"), "before", strict=True, block=block)
     maps = maps.withColumns(
         {
             "first": F.col("before").isNull(),
@@ -60,13 +58,13 @@ def named(values: Column, names: Column) -> Column:
     return F.coalesce(F.map_from_entries(F.transform(values, entry)), F.expr("cast(map() as map<string,variant>)"))
 
 
-def row_changes(events: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+def row_changes(events: DataFrame, catalog: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """One row change for each row of each WRITE, UPDATE and DELETE event: op, table (db.table), source_checkpoint
     (file:next position, the same for all rows of an event), seq (place among them), occurred_at, before, after.
 
     Rows of a table id that no TABLE_MAP announced are left out, as are control events.  Without a catalog entry the
     columns are called by number."""
-    e = with_table_map(with_file(events)).filter(F.col("event_type").isin(*ROWS) & F.col("map").isNotNull())
+    e = with_table_map(with_file(events, block), block).filter(F.col("event_type").isin(*ROWS) & F.col("map").isNotNull())
     e = e.select("source", "event_type", F.concat_ws(":", "file", "next_position").alias("source_checkpoint"), F.timestamp_millis("ts_ms").alias("occurred_at"), F.col("map.db").alias("db"), F.col("map.table").alias("table"), "rows", F.col("seq").alias("log_seq"))
     if catalog is None:
         e = e.withColumn("names", F.lit(None).cast("array<string>"))

@@ -67,9 +67,13 @@ def rate(samples: DataFrame, name: str, tags: list[str], seconds: int = 300) ->
 
 
 def quantiles(samples: DataFrame, name: str, tags: list[str], at: dict[str, float], exact: bool = True) -> DataFrame:
-    """Percentiles of one timer by tags; approximate ones keep bounded state by group."""
-    pick = (lambda p: F.percentile("value", F.lit(p))) if exact else (lambda p: F.percentile_approx("value", p, 10_000))
-    return samples.filter(F.col("name") == name).groupBy(*[_tag(t) for t in tags]).agg(*[pick(p).alias(n) for n, p in at.items()])
+    """Percentiles of one timer by tags.  Exact ones count equal values first, so a group's state is its different values;
+    approximate ones keep bounded state by group."""
+    s = samples.filter(F.col("name") == name).select(*[_tag(t) for t in tags], "value")
+    if not exact:
+        return s.groupBy(*tags).agg(*[F.percentile_approx("value", p, 10_000).alias(n) for n, p in at.items()])
+    counts = s.groupBy(*tags, "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*tags).agg(*[F.percentile("value", F.lit(p), F.col("n")).alias(n) for n, p in at.items()])
 
 
 def latest(samples: DataFrame, name: str, tags: list[str]) -> DataFrame:
