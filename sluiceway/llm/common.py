@@ -44,7 +44,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df (a written table of narrow rows) with a broadcast hint if it has at most so many rows, else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ascii_lower(text: Column) -> Column:
