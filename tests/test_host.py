@@ -100,3 +100,31 @@ def test_restarts():
 
     with pytest.raises(OSError):
         connect.run_with_restart(never, limit=2, back_off=FAST, sleep=slept.append)
+
+
+def test_lag_sampler():
+    import math
+
+    from sluiceway.ports import LagSampler
+
+    answers = [None, 5, None, OSError("x"), 7]
+
+    def probe():
+        a = answers.pop(0)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    s = LagSampler(probe, 1000)
+    got = [s.sample() for _ in range(5)]
+    assert math.isnan(got[0]) and got[1:] == [5, 5, 5, 7]
+    with pytest.raises(ValueError):
+        LagSampler(probe, 10)
+    answers.append(9)
+    s.start()
+    s.start()
+    deadline = __import__("time").monotonic() + 10
+    while s.value != 9 and __import__("time").monotonic() < deadline:
+        __import__("time").sleep(0.05)
+    s.stop()
+    assert s.value == 9
