@@ -41,7 +41,7 @@ def test_memory_store_and_guard():
         assert store_or_warn(True, None) == (None, 1)
 
 
-def test_config(spark):
+def test_config(spark, tmp_path):
     c = Config.from_dict({"source": "postgres_rows", "password": "x", "url": "u", "retry": {"initial_ms": 5}, "mappings": [{"table": "t", "routing": {"sink": "sns://t"}}]})
     assert c.retry.publish_attempts == 5 and c.slot_options()["format-version"] == "2" and c.mappings[0].table == "t"
     info = c.info()
@@ -51,7 +51,7 @@ def test_config(spark):
             Config.from_dict(bad)
     for source in ("oracle", "sqlserver", "binlog"):
         with pytest.raises(NotSupported):
-            build_source(spark, Config(source=source, path="/tmp"))
+            build_source(spark, Config(source=source, path=str(tmp_path)))
     with pytest.raises(ValueError):
         build_source(spark, Config(source="x"))
     assert "format-version" not in Config(format_version="V1").slot_options()
