@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once (a longer text is handled alone).
-PART = 4 << 20
+PART = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
