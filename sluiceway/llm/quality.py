@@ -165,15 +165,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Gam:
     return fit(np.array([r[2] for r in got]), np.array([float(r[1] > 0) for r in got]))
 
 
+def _parts(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that few texts are in memory twice."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def score(docs: DataFrame, model: Gam) -> DataFrame:
     """doc_id, score for every row of docs (doc_id, text; other columns are ignored).  Null texts count as empty, which
     has a score too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = shared.value.score(np.array([features(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(NAMES)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+        for part in _parts(batches):
+            s = shared.value.score(np.array([features(t) for t in part.column(1).to_pylist()]).reshape(-1, len(NAMES)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
 
@@ -184,8 +191,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     at = docs.columns.index("text")
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = shared.value.score(np.array([features(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(NAMES)))
-            yield batch.filter(pa.array(s >= least))
+        for part in _parts(batches):
+            s = shared.value.score(np.array([features(t) for t in part.column(at).to_pylist()]).reshape(-1, len(NAMES)))
+            yield part.filter(pa.array(s >= least))
 
     return docs.mapInArrow(kept, docs.schema)
