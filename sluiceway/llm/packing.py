@@ -22,7 +22,7 @@ from .common import materialize
 
 CAPACITY, OPEN, BUNDLE = 4096, 8, 64
 #: A worker remembers the ids of so many words seen lately, and of as many seen before those.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 END_ID = 2
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
