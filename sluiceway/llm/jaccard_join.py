@@ -231,8 +231,13 @@ def pairs(found: DataFrame, against: DataFrame, roots: DataFrame, num: int, den:
     told = against.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.col("overlap").alias("common"))
     rows = found.join(told, ["key", "pivot"], "left").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
     rows = rows.withColumn("common", F.when(F.col("key") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("common", F.lit(-1))))
+    rows = rows.withColumn("comp", F.coalesce("root", "key"))
+    whole, long = rows.filter("salts = 1"), rows.filter("salts > 1")
+    # a long list that is one component by now, as that of a large group of near copies is, needs no pairs of parts
+    open_ = materialize(long.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("token"), "open-lists")
+    rows = whole.unionByName(long.join(small(open_, BROADCAST_IDS), "token", "left_semi"))
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    rows = rows.select("token", F.least("salt", "part").alias("low"), F.greatest("salt", "part").alias("high"), "salt", "n", "pos", "key", F.coalesce("root", "key").alias("comp"), "pivot", "common")
+    rows = rows.select("token", F.least("salt", "part").alias("low"), F.greatest("salt", "part").alias("high"), "salt", "n", "pos", "key", "comp", "pivot", "common")
     names = ["a", "b", "na", "nb", "pa", "pb", "sure"]
 
     def met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,25 +291,20 @@ def verified(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 got = [s for s in shingle_sets(batch.column(0).slice(i, 512), words) if len(s)]
-                yield _columns(["key", "set"], pa.array([set_key(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary()))
-
-    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [[len(x) // 8 for x in batch.column(c).to_pylist()] for c in (2, 3)]
-            common = [
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
-            linked = [den * c >= num * (p + q - c) for c, p, q in zip(common, *n, strict=True)]
-            yield _columns(["a", "b", "overlap", "linked"], batch.column(0), batch.column(1), pa.array(common, pa.int32()), pa.array(linked, pa.bool_()))
+                if got:
+                    values = pa.array(np.concatenate(got).view(np.int64))
+                    ends = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
+                    yield _columns(["key", "set"], pa.array([set_key(s) for s in got], pa.binary()), pa.ListArray.from_arrays(ends, values))
 
     keys = asked.select(F.col("a").alias("key")).union(asked.select("b")).distinct()
     ids = materialize(keys.join(classes, "key").select("doc_id").distinct(), "needed")
     texts = docs.select("doc_id", "text")
     texts = texts.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi").union(texts.filter("doc_id is null"))
-    known = materialize(texts.select("text").mapInArrow(sets, "key binary, set binary"), "sets")
+    known = materialize(texts.select("text").mapInArrow(sets, "key binary, set array<bigint>"), "sets")
     both = asked.select("a", "b").join(known.select(F.col("key").alias("a"), F.col("set").alias("s")), "a").join(known.select(F.col("key").alias("b"), F.col("set").alias("t")), "b")
-    return materialize(both.select("a", "b", "s", "t").mapInArrow(compared, "a binary, b binary, overlap int, linked boolean").distinct(), "verified")
+    common = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("overlap"), (F.size("s") + F.size("t")).alias("sizes"))
+    linked = F.col("overlap") * (num + den) >= F.col("sizes") * num
+    return materialize(common.select("a", "b", "overlap", linked.alias("linked")).distinct(), "verified")
 
 
 def to_pivots(found: DataFrame) -> DataFrame:
