@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -47,6 +48,27 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def give_back() -> None:
+    """Hand memory that a Python worker no longer needs back to the system; workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(f):
+    """f, a function for mapInArrow, so that its task gives its memory back at the end."""
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else.  lower() is the quick way for texts that are all ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z|(?=<))|<[!?/][^>]*(?:>|\Z)", re.S)
 HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Words in class, id and role that mark boilerplate.
@@ -254,4 +256,4 @@ def extract(pages: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
                 out = [main_text(p, shared.value) for p in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(texts, "page_id long, url string, text string")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(texts), "page_id long, url string, text string")

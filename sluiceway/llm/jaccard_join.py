@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, small, tidy
 from .components import components
 from .shingles import least_size, needed_overlap, set_key, shingle_sets
 
@@ -68,7 +68,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
             none = pa.nulls(BLOCKS)
             yield _columns(names, none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()))
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(told, "doc_id long, n long, key binary, block int, counts binary"), "shingles")
+    return materialize(docs.select("doc_id", "text").mapInArrow(tidy(told), "doc_id long, n long, key binary, block int, counts binary"), "shingles")
 
 
 def counted(described: DataFrame) -> np.ndarray:
@@ -120,7 +120,7 @@ def entries(docs: DataFrame, counts: np.ndarray, words: int, num: int, den: int,
                     t, a, b, n, p = (pa.array(np.concatenate(x).astype(np.int64)) for x in (token, salt, salts, size, pos))
                     yield _columns(["token", "salt", "salts", "key", "n", "pos"], t, a.cast(pa.int32()), b.cast(pa.int32()), _binary(np.concatenate(key)), n.cast(pa.int32()), p.cast(pa.int32()))
 
-    return docs.select("text").mapInArrow(prefixes, "token long, salt int, salts int, key binary, n int, pos int")
+    return docs.select("text").mapInArrow(tidy(prefixes), "token long, salt int, salts int, key binary, n int, pos int")
 
 
 def _lists(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def lists(found: DataFrame, num: int, den: int, pivot_from: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*keep.columns, chosen], names=[*keep.schema.names, "pivot"])
 
     dealt = found.repartition("token", "salt").sortWithinPartitions("token", "salt", "key")
-    return materialize(dealt.mapInArrow(told, "token long, salt int, salts int, key binary, n int, pos int, pivot binary"), "lists")
+    return materialize(dealt.mapInArrow(tidy(told), "token long, salt int, salts int, key binary, n int, pos int, pivot binary"), "lists")
 
 
 def candidates(n, pos, comp, salt, pivot, common, pivot_n, num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -273,7 +273,7 @@ def pairs(found: DataFrame, against: DataFrame, roots: DataFrame, num: int, den:
                 yield told_of(got)
 
     out = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "pos")
-    out = out.mapInArrow(met, "a binary, b binary, na int, nb int, pa int, pb int, sure boolean")
+    out = out.mapInArrow(tidy(met), "a binary, b binary, na int, nb int, pa int, pb int, sure boolean")
     swap = F.col("a") > F.col("b")  # only among sets of one size
     first = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     out = out.select(first("a", "b").alias("a"), first("b", "a").alias("b"), first("na", "nb").alias("na"), first("nb", "na").alias("nb"), first("pa", "pb").alias("pa"), first("pb", "pa").alias("pb"), "sure")
@@ -300,7 +300,7 @@ def verified(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     ids = materialize(keys.join(classes, "key").select("doc_id").distinct(), "needed")
     texts = docs.select("doc_id", "text")
     texts = texts.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi").union(texts.filter("doc_id is null"))
-    known = materialize(texts.select("text").mapInArrow(sets, "key binary, set array<bigint>"), "sets")
+    known = materialize(texts.select("text").mapInArrow(tidy(sets), "key binary, set array<bigint>"), "sets")
     both = asked.select("a", "b").join(known.select(F.col("key").alias("a"), F.col("set").alias("s")), "a").join(known.select(F.col("key").alias("b"), F.col("set").alias("t")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("overlap"), (F.size("s") + F.size("t")).alias("sizes"))
     linked = F.col("overlap") * (num + den) >= F.col("sizes") * num

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 CAPACITY, OPEN, BUNDLE = 4096, 8, 64
 #: A worker remembers the ids of so many words seen lately, and of as many seen before those.
@@ -187,7 +187,7 @@ def pack(docs: DataFrame, spec: str, end_id: int = END_ID, capacity: int = CAPAC
             rows.add(pieces, done=False)
         yield rows.batch()
 
-    first = materialize(docs.select("doc_id", "text").mapInArrow(placed, PIECE + ", ids binary, done boolean"), "pieces")
+    first = materialize(docs.select("doc_id", "text").mapInArrow(tidy(placed), PIECE + ", ids binary, done boolean"), "pieces")
 
     def merged(key: tuple, t: pa.Table) -> pa.Table:
         rows = Rows((1 << 62) + (key[0].as_py() << 32), False)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER
+from .common import UPPER, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base spans.
@@ -243,7 +243,7 @@ def pii_spans(docs: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([told(b) for b, _ in found], kind), pa.array([told(a) for _, a in found], kind)], names=["doc_id", "base", "spans"])
 
     item = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return docs.select("doc_id", "text").mapInArrow(spans, f"doc_id long, base {item}, spans {item}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(spans), f"doc_id long, base {item}, spans {item}")
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -276,4 +276,4 @@ def redact(docs: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
                     columns[k] = pa.array([o if n is t or n is None else len(n) for o, n, t in zip(old, new, texts, strict=True)], part.schema.field(k).type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(cleaned, docs.schema)
+    return docs.mapInArrow(tidy(cleaned), docs.schema)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Labelled rows to fit on: the sample is bounded, taken by hash of doc_id.
 MAX_TRAIN = 20_000
 
@@ -182,7 +184,7 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
             s = shared.value.score(np.array([features(t) for t in part.column(1).to_pylist()]).reshape(-1, len(NAMES)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(scored), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
@@ -195,4 +197,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
             s = shared.value.score(np.array([features(t) for t in part.column(at).to_pylist()]).reshape(-1, len(NAMES)))
             yield part.filter(pa.array(s >= least))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidy(kept), docs.schema)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .shingles import mix
 
 #: The mark that stands for a space in pieces.
@@ -240,4 +241,4 @@ def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, var
                 names = ["doc_id", "ids", "text"] + ["source"] * source
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(back, pa.string()), part.column(1)][: len(names)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, ids array<int>, text string" + ", source string" * source)
+    return docs.select("doc_id", "text").mapInArrow(tidy(encoded), "doc_id long, ids array<int>, text string" + ", source string" * source)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, small
+from .common import materialize, shared_dir, small, tidy
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_BYTES = 1000
@@ -97,7 +97,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(parsed, RECORD)
+    return files.select("content").mapInArrow(tidy(parsed), RECORD)
 
 
 def restore(archive: DataFrame) -> DataFrame:
