@@ -1,16 +1,20 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding without loss.
 
 The vocabulary of a merge-type model is applied by an agenda: the best merge of a word comes first, and each candidate is
-skipped if a keyed hash of the seed, the word's variant, its place and the two pieces says so.  The agendas of many words
-run side by side, one step of each at a time.  What a skip changes is which pieces spell a text, never the text.
+skipped if a keyed hash of the seed, the document, the occurrence's place in it, the place in the word and the two pieces
+says so: each occurrence is drawn for itself.  The agendas of many words run side by side, one step of each at a time.
+What a skip changes is which pieces spell a text, never the text.
+
+What a word tries without a skip, or after its first one, is the same for all its occurrences and is remembered; the hashes
+of an occurrence tell how far it goes along.  An occurrence with more skips has an agenda of its own.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +25,12 @@ from .shingles import mix
 
 #: The mark that stands for a space in pieces.
 MARK = "▁"
-#: Different segmentations of a word; which one an occurrence gets is a keyed hash of document and place.
-VARIANTS = 4
 #: Longer words have an agenda of their own; one step of all words side by side costs as much as they are long.
 LONG = 64
-#: A worker remembers the ids of so many words and variants seen lately, and of as many seen before those.
-CACHE_WORDS = 400_000
+#: A worker forgets its words when it remembers so many words, or so many tries of words.
+CACHE_WORDS, CACHE_TRIES = 400_000, 8_000_000
+#: Occurrences decided on at once.
+PART = 1 << 16
 
 
 class Vocabulary:
@@ -79,14 +83,23 @@ def words_of(text: str) -> list[str]:
     return out if text else []
 
 
-def _skipped(seed: int, key: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, dropout: float) -> np.ndarray:
+def _try(pos: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for a candidate merge, by its place in the word and its pieces."""
+    with np.errstate(over="ignore"):
+        return pos.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))
+
+
+def _keyed(seed: int, key: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(key.astype(np.uint64) + np.uint64(seed & (2**64 - 1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _skipped(keyed: np.ndarray, tries: np.ndarray, dropout: float) -> np.ndarray:
     """Whether a candidate merge is skipped, by a keyed hash."""
     if dropout <= 0:
-        return np.zeros(len(key), bool)
+        return np.zeros(len(tries), bool)
     with np.errstate(over="ignore"):
-        h = mix(key.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
-        h = mix(h + pos.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)))
-    return (h >> np.uint64(11)).astype(float) / 2.0**53 < dropout
+        return (mix(keyed + tries) >> np.uint64(11)).astype(float) / 2.0**53 < dropout
 
 
 def _symbols(words: list[str], v: Vocabulary) -> np.ndarray:
@@ -119,9 +132,10 @@ def agenda(word: str, key: int, v: Vocabulary, seed: int, dropout: float) -> lis
     if n > 1:
         offer([(i, i + 1) for i in range(n - 1)])
     one = lambda x: np.array([x], np.int64)
+    keyed = _keyed(seed, one(key))
     while heap:
         _, i, j, a, b, made = heapq.heappop(heap)
-        if sym[i] != a or nxt[i] != j or sym[j] != b or _skipped(seed, one(key), one(i), one(a), one(b), dropout)[0]:
+        if sym[i] != a or nxt[i] != j or sym[j] != b or _skipped(keyed, _try(one(i), one(a), one(b)), dropout)[0]:
             continue
         sym[i], sym[j] = made, None
         nxt[i] = nxt[j]
@@ -133,16 +147,22 @@ def agenda(word: str, key: int, v: Vocabulary, seed: int, dropout: float) -> lis
 
 
 def side_by_side(words: list[str], keys: np.ndarray, v: Vocabulary, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of short words and the word of each, where a keyed hash skips candidates."""
+    keyed = _keyed(seed, keys)
+    return _agendas(words, v, lambda _, word, tries: _skipped(keyed[word], tries, dropout))
+
+
+def _agendas(words: list[str], v: Vocabulary, skips: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of short words and the word of each, all agendas one step at a time: word by word the best candidate
-    (of equal ones the first) is skipped or merged."""
+    (of equal ones the first) is skipped or merged, as skips says of the step, the words and their tries."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     sym, word = _symbols(words, v), np.repeat(np.arange(len(words)), sizes)
     pos = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    lost = np.zeros(len(sym), bool)  # the candidate of a symbol and the next one was skipped
+    score, made = _candidates(sym, np.append(sym[1:], -1), v)  # of a symbol and the next one
+    score[np.append(word[1:] != word[:-1], len(sym) > 0)[: len(sym)]] = -np.inf
     done: list[tuple[np.ndarray, np.ndarray]] = []
+    step = 0
     while len(sym):
-        score, made = _candidates(sym, np.append(sym[1:], -1), v)
-        score[lost | np.append(word[1:] != word[:-1], True)] = -np.inf
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         best = np.maximum.reduceat(score, starts)
         counts = np.diff(starts, append=len(sym))
@@ -151,16 +171,19 @@ def side_by_side(words: list[str], keys: np.ndarray, v: Vocabulary, seed: int, d
             done.append((word[~alive], sym[~alive]))
         top = np.flatnonzero(alive & (score == np.repeat(best, counts)))
         at = top[np.diff(word[top], prepend=-1) != 0]
-        skip = _skipped(seed, keys[word[at]], pos[at], sym[at], sym[np.minimum(at + 1, len(sym) - 1)], dropout)
-        lost[at[skip]] = True
+        skip = skips(step, word[at], _try(pos[at], sym[at], sym[np.minimum(at + 1, len(sym) - 1)]))
+        step += 1
+        score[at[skip]] = -np.inf
         m = at[~skip]
         sym[m] = made[m]
-        lost[m] = False
-        back = m[m > 0] - 1
-        lost[back[word[back] == word[back + 1]]] = False
         alive[m + 1] = False
-        # a skipped candidate on the removed symbol's right belongs to the new piece's new candidate, which is not skipped yet
-        sym, word, pos, lost = sym[alive], word[alive], pos[alive], lost[alive]
+        m = np.cumsum(alive)[m] - 1
+        sym, word, pos, score, made = sym[alive], word[alive], pos[alive], score[alive], made[alive]
+        back = m[m > 0] - 1
+        new = np.concatenate([m, back[word[back] == word[back + 1]]])  # a skipped candidate beside a merge makes room for another
+        right = np.minimum(new + 1, len(sym) - 1)
+        score[new], made[new] = _candidates(sym[new], sym[right], v)
+        score[new[(right == new) | (word[right] != word[new])]] = -np.inf
     if not done:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     w, s = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
@@ -168,61 +191,147 @@ def side_by_side(words: list[str], keys: np.ndarray, v: Vocabulary, seed: int, d
     return w[order], s[order]
 
 
-def encode_words(words: list[tuple[str, int]], v: Vocabulary, seed: int, dropout: float) -> list[bytes]:
-    """The ids of each (word, variant), as little-endian 32-bit numbers."""
-    keys = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) << 8 | k for w, k in words], np.int64)
-    short = [i for i, (w, _) in enumerate(words) if 0 < len(w) <= LONG]
-    out: list[bytes] = [b""] * len(words)
+def _spelt(sym: Iterable[int], v: Vocabulary) -> bytes:
+    ids = [i for s in sym for i in ([s] if s >= 0 else v.byte_ids[list(chr(-1 - s).encode("utf-8", "surrogatepass"))])]
+    return np.array(ids, "<u4").tobytes()
 
-    def spelt(sym: Iterable[int]) -> bytes:
-        ids = [i for s in sym for i in ([s] if s >= 0 else v.byte_ids[list(chr(-1 - s).encode("utf-8", "surrogatepass"))])]
-        return np.array(ids, "<u4").tobytes()
 
-    which, sym = side_by_side([words[i][0] for i in short], keys[short], v, seed, dropout)
-    ends = np.searchsorted(which, np.arange(len(short) + 1)).tolist()
-    odd = np.zeros(len(short), bool)
+def _cut(which: np.ndarray, sym: np.ndarray, words: int, v: Vocabulary) -> list[bytes]:
+    """The ids of each of so many words, from their pieces."""
+    ends = np.searchsorted(which, np.arange(words + 1)).tolist()
+    odd = np.zeros(words, bool)
     odd[which[sym < 0]] = True
     data = np.maximum(sym, 0).astype("<u4").tobytes()
-    for k, i in enumerate(short):
-        out[i] = spelt(sym[ends[k] : ends[k + 1]].tolist()) if odd[k] else data[4 * ends[k] : 4 * ends[k + 1]]
-    for i, (w, _) in enumerate(words):
+    return [_spelt(sym[a:b].tolist(), v) if o else data[4 * a : 4 * b] for a, b, o in zip(ends[:-1], ends[1:], odd.tolist(), strict=True)]
+
+
+def encode_words(words: list[tuple[str, int]], v: Vocabulary, seed: int, dropout: float) -> list[bytes]:
+    """The ids of each (word, key), as little-endian 32-bit numbers.  key: a signed number for the occurrence."""
+    keys = np.array([k for _, k in words], np.int64)
+    short = [i for i, (w, _) in enumerate(words) if 0 < len(w) <= LONG]
+    out: list[bytes] = [b""] * len(words)
+    for i, ids in zip(short, _cut(*side_by_side([words[i][0] for i in short], keys[short], v, seed, dropout), len(short), v), strict=True):
+        out[i] = ids
+    for i, (w, k) in enumerate(words):
         if not w:
-            out[i] = spelt([-1 - ord(MARK)])
+            out[i] = _spelt([-1 - ord(MARK)], v)
         elif len(w) > LONG:
-            out[i] = spelt(agenda(w, int(keys[i]), v, seed, dropout))
+            out[i] = _spelt(agenda(w, k, v, seed, dropout), v)
     return out
 
 
-class Encoder:
-    """Encodes texts with one seed and dropout, and remembers words."""
+class _Grown:
+    """An array that grows at its end."""
 
-    def __init__(self, v: Vocabulary, seed: int, dropout: float, variants: int = VARIANTS, words: int = CACHE_WORDS):
-        self.v, self.seed, self.dropout, self.variants, self.words = v, seed, dropout, variants if dropout > 0 else 1, words
-        self.recent: dict[tuple[str, int], bytes] = {}
-        self.older: dict[tuple[str, int], bytes] = {}
+    def __init__(self, kind: type):
+        self.data, self.n = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(self.n + len(more), self.data.dtype)])
+        self.data[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each range, one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+class Encoder:
+    """Encodes texts with one seed and dropout.  It remembers what doesn't depend on the occurrence: of each short word the
+    tries and ids without a skip, and of each of these tries the further tries and the ids if it is the only one skipped."""
+
+    def __init__(self, v: Vocabulary, seed: int, dropout: float, words: int = CACHE_WORDS, tries: int = CACHE_TRIES):
+        self.v, self.seed, self.dropout, self.words, self.most = v, seed, dropout, words, tries
+        self._forget()
+
+    def _forget(self) -> None:
+        self.paths: dict[str, int] = {}
+        self.tries, self.after, self.ids = _Grown(np.uint64), _Grown(np.int32), _Grown(np.uint32)  # after: the path if skipped
+        self.tries_at, self.tries_n, self.ids_at, self.ids_n = (_Grown(np.int64) for _ in range(4))
+
+    def _learn(self, words: list[str], at: np.ndarray) -> np.ndarray:
+        """The new paths of words that skip nothing but the try of number at (negative: nothing at all)."""
+        tried: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+
+        def skips(step: int, word: np.ndarray, tries: np.ndarray) -> np.ndarray:
+            left = at[word] < step
+            tried.append((word[left], tries[left]))
+            return at[word] == step
+
+        ids = _cut(*_agendas(words, self.v, skips), len(words), self.v)
+        word, tries = (np.concatenate(x) for x in zip(*tried, strict=True))
+        sizes = np.bincount(word, minlength=len(words))
+        tries = tries[np.argsort(word, kind="stable")]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        new = self.tries_at.n + np.arange(len(words))
+        self.tries_at.add(self.tries.n + np.cumsum(sizes) - sizes)
+        self.tries_n.add(sizes)
+        self.ids_at.add(self.ids.n + np.cumsum(lengths) - lengths)
+        self.ids_n.add(lengths)
+        self.tries.add(tries)
+        self.after.add(np.full(len(tries), -1))
+        self.ids.add(np.frombuffer(b"".join(ids), "<u4"))
+        return new
+
+    def _first(self, keyed: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences that skip a try of their path, and the first such try."""
+        sizes = self.tries_n.data[path]
+        at = _ranges(self.tries_at.data[path], sizes)
+        who = np.repeat(np.arange(len(path)), sizes)
+        hit = np.flatnonzero(_skipped(keyed[who], self.tries.data[at], self.dropout))
+        hit = hit[np.diff(who[hit], prepend=-1) != 0]
+        return who[hit], at[hit]
+
+    def _encode(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of occurrences of words, one after the other, and how many each has."""
+        if len(self.paths) > self.words or self.tries.n > self.most:
+            self._forget()
+        new = [w for w in set(words).difference(self.paths) if 0 < len(w) <= LONG]
+        self.paths.update(zip(new, self._learn(new, np.full(len(new), -1)).tolist(), strict=True))
+        path = np.fromiter(map(self.paths.get, words, repeat(-1)), np.int64, len(words))
+        if self.dropout > 0:
+            keyed = _keyed(self.seed, keys)
+            known = np.flatnonzero(path >= 0)
+            who, at = self._first(keyed[known], path[known])
+            who = known[who]
+            lack, one = np.unique(at[self.after.data[at] < 0], return_index=True)
+            of = who[self.after.data[at] < 0][one]
+            learnt = self._learn([words[i] for i in of.tolist()], lack - self.tries_at.data[path[of]])
+            self.after.data[lack] = learnt
+            path[who] = self.after.data[at]
+            path[who[self._first(keyed[who], path[who])[0]]] = -1
+        own, known = np.flatnonzero(path < 0), np.flatnonzero(path >= 0)
+        spelt = encode_words([(words[i], k) for i, k in zip(own.tolist(), keys[own].tolist(), strict=True)], self.v, self.seed, self.dropout)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[known] = self.ids_n.data[path[known]]
+        sizes[own] = np.fromiter(map(len, spelt), np.int64, len(spelt)) // 4
+        starts = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), "<u4")
+        out[_ranges(starts[known], sizes[known])] = self.ids.data[_ranges(self.ids_at.data[path[known]], sizes[known])]
+        out[_ranges(starts[own], sizes[own])] = np.frombuffer(b"".join(spelt), "<u4")
+        return out, sizes
 
     def encode(self, keys: list[int | None], texts: list[str | None]) -> list[bytes]:
-        if len(self.recent) > self.words:
-            self.recent, self.older = {}, self.recent
-        recent, older = self.recent, self.older
-        split = []
+        words: list[str] = []
+        places, ends = [np.zeros(0, np.uint64)], [0]
         for key, text in zip(keys, texts, strict=True):
-            words = words_of(text or "")
+            words += words_of(text or "")
             with np.errstate(over="ignore"):
                 base = mix(np.array([(key or 0) & (2**64 - 1), self.seed & (2**64 - 1)], np.uint64))
-                turns = mix(base[0] * np.uint64(3) + base[1] + np.arange(len(words), dtype=np.uint64)) % np.uint64(self.variants)
-            split.append(list(zip(words, turns.tolist(), strict=True)))
-        new = []
-        for w in set().union(*split).difference(recent):
-            if (ids := older.get(w)) is None:
-                new.append(w)
-            else:
-                recent[w] = ids
-        recent.update(zip(new, encode_words(new, self.v, self.seed, self.dropout), strict=True))
-        return [b"".join([recent[w] for w in words]) for words in split]
-
-
-def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, variants: int = VARIANTS, source: bool = False) -> DataFrame:
+                places.append(mix(base[0] * np.uint64(3) + base[1] + np.arange(len(words) - ends[-1], dtype=np.uint64)))
+            ends.append(len(words))
+        every = np.concatenate(places).view(np.int64)
+        parts = [self._encode(words[i : i + PART], every[i : i + PART]) for i in range(0, len(words), PART)]
+        if not parts:
+            return [b""] * len(texts)
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        cuts = np.append(0, np.cumsum(sizes))[ends].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, source: bool = False) -> DataFrame:
     """doc_id, ids, text for every row of docs (doc_id, text; other columns are ignored): the token ids, and the text that
     they decode to; with source also the text that went in.  model: the path of a merge-type model, read on the driver.
 
@@ -231,7 +340,7 @@ def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, var
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, seed, dropout, variants)
+        encoder = Encoder(shared.value, seed, dropout)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)

@@ -60,3 +60,22 @@ def test_operator(frame):
 @pytest.mark.parametrize("text, parts", [("", []), ("a b", ["▁a", "▁b"]), (" a  b\n\nc ", ["▁▁a", "▁▁b\n", "\n", "c", "▁"]), ("x▁y", ["▁x", "", "y"])])
 def test_parts(text, parts):
     assert S.words_of(text) == parts
+
+
+def test_each_occurrence_is_drawn_for_itself():
+    """A word has no fixed few spellings: its occurrences in and across documents spell it in all likely ways."""
+    assert len({tuple(x) for x in encode(["thoroughly"] * 1000, 1, 0.3)}) > 12
+    n, whole = 4000, OWN.encode("a")  # one merge, of the mark and the letter
+    for ids in (encode([" ".join(["a"] * n)], 1, 0.1)[0], sum(encode(["a"] * n, 1, 0.1), [])):
+        assert abs(ids.count(whole[0]) / n - 0.9) < 0.03
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.4])
+def test_what_is_remembered_changes_no_spelling(words, dropout):
+    every = (words(60).split() + ["▁the", "▁of", "", "é亜" * 40, "▁thoroughly"]) * 20
+    keys = np.arange(len(every)) * 977 - 5000
+    want = b"".join(S.encode_words(list(zip(every, keys.tolist(), strict=True)), V, 5, dropout))
+    for options in ({}, {"words": 3, "tries": 10}):
+        e = S.Encoder(V, 5, dropout, **options)
+        for _ in range(2):
+            assert e._encode(every, keys)[0].tobytes() == want
