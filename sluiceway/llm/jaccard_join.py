@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with skipping by set relations, and the components of its links.
+"""N-gram Jaccard join with skipping by set relations: its links, and their components.
 
 Every text becomes a set of word-shingle hashes; equal sets are one class.  Classes are joined by prefixes: shingles are
 ordered with rare ones first, and similar sets must share one of their first few.  The prefixes make index lists.
@@ -6,8 +6,9 @@ ordered with rare ones first, and similar sets must share one of their first few
 * In a list, entries are in blocks of equal size, by position inside a block; a set skips all blocks whose size, and the
   rest of a block whose positions, leave too little room for the needed overlap.
 * In a long list the set with the fewest shingles of its own, in a stretch of sizes, is the pivot.  Sets verified against the pivot answer for each other:
-  sets already in one component need no further look, and the overlaps with the pivot bound the overlap of two sets from
-  both sides, so that many pairs are settled without their sets.
+  the overlaps with the pivot bound the overlap of two sets from both sides, so that many pairs are settled without their
+  sets.  Sets with one pivot are paired once, in a list of that pivot, and not in each list that they share.
+* Where only components are asked for, as by keep_one, sets already in one component need no further look.
 
 The result is exact: a bound only ever drops pairs that can't reach the threshold, or takes pairs that must.
 """
@@ -223,19 +224,46 @@ def candidates(n, pos, comp, salt, pivot, common, pivot_n, num: int, den: int) -
             yield i, j, sure
 
 
-def pairs(found: DataFrame, against: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, sure: the pairs of classes of different components that may be similar, each once; sure: that must be.
+#: The columns of entries of lists as they are paired.
+ENTRY = ["token", "salt", "salts", "n", "pos", "key", "comp", "pivot", "common"]
 
-    found: the lists; against: overlaps with pivots (a, b, overlap); roots: components so far.  The parts of a long list
+
+def one_pivot(against: DataFrame) -> DataFrame:
+    """key, root: the pivot that a class is listed under, one of those that it was verified against."""
+    return against.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("root"))
+
+
+def of_pivots(found: DataFrame, against: DataFrame, long_list: int) -> DataFrame:
+    """For each pivot a list of the classes under it, in parts where it is long.  All of them are at place 0, so that none
+    is skipped by position; comp is the class itself."""
+    rows = materialize(one_pivot(against).join(against.select(F.col("a").alias("key"), F.col("b").alias("root"), "overlap"), ["key", "root"]), "under-pivots")
+    sizes = materialize(rows.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / long_list).cast("int").alias("salts")), "pivot-lists")
+    rows = rows.join(sizes, "root")
+    size = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("int")
+    salt = F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")
+    return rows.select(
+        F.xxhash64("root").alias("token"), salt.alias("salt"), "salts", size.alias("n"), F.lit(0).alias("pos"), "key", F.col("key").alias("comp"), F.col("root").alias("pivot"), F.col("overlap").alias("common")
+    )
+
+
+def pairs(found: DataFrame, against: DataFrame, roots: DataFrame | None, num: int, den: int, long_list: int = LONG_LIST) -> DataFrame:
+    """a, b, sure: the pairs of classes that may be similar, each once; sure: that must be.  With roots only those of
+    different components; without it all but those of against.
+
+    found: the lists; against: overlaps with pivots (a, b, overlap); roots: components so far, or None.  The parts of a long list
     meet in pairs of parts, so that all pairs of entries are looked at and no task holds more than two parts."""
     told = against.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.col("overlap").alias("common"))
-    rows = found.join(told, ["key", "pivot"], "left").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    rows = found.join(told, ["key", "pivot"], "left")
+    rows = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left") if roots else rows.join(one_pivot(against), "key", "left")
     rows = rows.withColumn("common", F.when(F.col("key") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("common", F.lit(-1))))
     rows = rows.withColumn("comp", F.coalesce("root", "key"))
-    whole, long = rows.filter("salts = 1"), rows.filter("salts > 1")
-    # a long list that is one component by now, as that of a large group of near copies is, needs no pairs of parts
-    open_ = materialize(long.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("token"), "open-lists")
-    rows = whole.unionByName(long.join(small(open_, BROADCAST_IDS), "token", "left_semi"))
+    if roots:
+        whole, long = rows.filter("salts = 1"), rows.filter("salts > 1")
+        # a long list that is one component by now, as that of a large group of near copies is, needs no pairs of parts
+        open_ = materialize(long.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("token"), "open-lists")
+        rows = whole.unionByName(long.join(small(open_, BROADCAST_IDS), "token", "left_semi"))
+    else:  # comp is the pivot that a set is listed under; pairs inside one are those of its list
+        rows = rows.select(*ENTRY).unionByName(of_pivots(found, against, long_list).select(*ENTRY))
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     rows = rows.select("token", F.least("salt", "part").alias("low"), F.greatest("salt", "part").alias("high"), "salt", "n", "pos", "key", "comp", "pivot", "common")
     names = ["a", "b", "na", "nb", "pa", "pb", "sure"]
@@ -278,9 +306,12 @@ def pairs(found: DataFrame, against: DataFrame, roots: DataFrame, num: int, den:
     first = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     out = out.select(first("a", "b").alias("a"), first("b", "a").alias("b"), first("na", "nb").alias("na"), first("nb", "na").alias("nb"), first("pa", "pb").alias("pa"), first("pb", "pa").alias("pb"), "sure")
     # all common shingles up to the last one seen are counted; after it at most the rest of either set is common
-    out = out.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("sure").alias("sure"))
+    out = out.filter("a <> b").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("sure").alias("sure"))
     most = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    return materialize(out.filter(F.col("sure") | (most * (num + den) >= (F.col("na") + F.col("nb")) * num)).select("a", "b", "sure"), "pairs")
+    out = out.filter(F.col("sure") | (most * (num + den) >= (F.col("na") + F.col("nb")) * num)).select("a", "b", "sure")
+    if not roots:
+        out = out.join(against.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    return materialize(out, "pairs")
 
 
 def verified(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -318,30 +349,68 @@ def to_pivots(found: DataFrame) -> DataFrame:
     return materialize(best.union(linked).distinct(), "to-pivots")
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, long_list: int = LONG_LIST, pivot_from: int = PIVOT_FROM) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text; other columns are ignored): the size of its
-    set of shingles, and the least doc_id of its component.  Two documents are linked when the Jaccard similarity of
-    their sets is at least num / den.  Texts without words have an empty set and no link, and a component of their own;
-    a null text is empty.  Rows that repeat a doc_id are taken each for itself; a null doc_id is never the least, where
-    its component has another."""
+def _classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows described; doc_id, n, key of each document; key and least doc_id of each class."""
     described = describe(docs, words)
     each = described.filter("key is not null").select("doc_id", "n", "key")
-    classes = materialize(each.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
+    return described, each, materialize(each.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
+
+
+def _linked(docs: DataFrame, described: DataFrame, classes: DataFrame, words: int, num: int, den: int, long_list: int, pivot_from: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of classes, a the lesser key, each once, and the roots of their components; but for every only as many
+    links as make the components."""
     found = lists(entries(docs, counted(described), words, num, den, long_list), num, den, pivot_from)
     first = verified(to_pivots(found), docs, classes, words, num, den)
     links = first.filter("linked").select("a", "b")
     roots = components(links)
-    more = pairs(found, first, roots, num, den)
+    more = pairs(found, first, None if every else roots, num, den, long_list)
     second = verified(more.filter("not sure"), docs, classes, words, num, den)
-    again = more.filter("sure").select("a", "b").union(second.filter("linked").select("a", "b"))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(again))
+    again = materialize(more.filter("sure").select("a", "b").union(second.filter("linked").select("a", "b")), "links")
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    across = again
+    if every:  # what lies inside components joins no more of them
+        across = again.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        across = across.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b").distinct()
+    found_roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across))
+    return links.union(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), found_roots
+
+
+def _components(each: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, class_id, component_id of each class."""
     placed = materialize(classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root")), "placed")
     least = materialize(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least-ids")
-    component = materialize(placed.join(least, "root").select("key", "component_id"), "class-components")
-    return each.join(component, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return materialize(placed.join(least, "root").select("key", F.col("doc_id").alias("class_id"), "component_id"), "class-components")
+
+
+def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, long_list: int = LONG_LIST, pivot_from: int = PIVOT_FROM, every: bool = True) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, n_links for every row of docs (doc_id, text; other columns are ignored):
+    the size of its set of shingles, the least doc_id with that set, the least doc_id of its component, and how many other
+    sets its set is linked to.  Two documents are linked when the Jaccard similarity of their sets is at least num / den.
+    Texts without words have an empty set and no link, and a class and component of their own; a null text is empty.  Rows
+    that repeat a doc_id are taken each for itself; a null doc_id is never the least, where its component has another.
+    every: else only links between components are looked for, and there is no n_links."""
+    described, each, classes = _classes(docs, words)
+    links, roots = _linked(docs, described, classes, words, num, den, long_list, pivot_from, every)
+    component = _components(each, classes, roots)
+    out = each.join(component, "key", "left")
+    named = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    if not every:
+        return out.select(*named)
+    links = materialize(links, "all-links")
+    counts = materialize(links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links")), "link-counts")
+    return out.join(counts, "key", "left").select(*named, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, long_list: int = LONG_LIST, pivot_from: int = PIVOT_FROM) -> DataFrame:
+    """a, b: the class_ids of each two different sets that are linked, each pair once.  With the class_id of jaccard_join as
+    membership these are all links.  The class_id of a set that only null doc_ids have is null."""
+    described, _, classes = _classes(docs, words)
+    links, _ = _linked(docs, described, classes, words, num, den, long_list, pivot_from, True)
+    name = lambda c: classes.select(F.col("key").alias(c), F.col("doc_id").alias(f"{c}_id"))
+    return links.join(name("a"), "a").join(name("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component or have none."""
-    others = materialize(jaccard_join(docs, **options).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    others = materialize(jaccard_join(docs, every=False, **options).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     return docs.join(small(others, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)

@@ -56,6 +56,30 @@ def test_against_brute_force(frame, words, n, num, den, options):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute(rows, n, num, den)
 
 
+@pytest.mark.parametrize("options", [{}, {"long_list": 3, "pivot_from": 2}])
+def test_all_links_are_found(frame, words, options):
+    """Also those inside a component that the pivots join already."""
+    base = words(120, 1)
+    rows = [(100 + i, near(base, i % 6, i)) for i in range(40)] + [(200 + i, words(60, 3) + " " + words(5 + 3 * i, 50 + i)) for i in range(12)]
+    rows += [(300, base), (99, near(base, 2, 1)), (1, None), (2, "a b"), (None, near(base, 1, 77))]
+    docs = frame(rows)
+    sets, want = {}, set()
+    for d, t in rows:
+        if t:
+            sets.setdefault(brute_set(t, 3), []).append(d)
+    names = {s: min((d for d in ds if d is not None), default=None) for s, ds in sets.items()}
+    each = list(sets)
+    similar = [(a, b) for i, a in enumerate(each) for b in each[:i] if 100 * len(a & b) >= 80 * len(a | b)]
+    want = sorted(repr(sorted([names[a], names[b]], key=repr)) for a, b in similar)
+    got = J.jaccard_links(docs, words=3, **options).collect()
+    assert sorted(repr(sorted([r.a, r.b], key=repr)) for r in got) == want and len(want) > 100
+    n = {names[s]: sum(s in p for p in similar) for s in each}
+    of = {d: s for s, ds in sets.items() for d in ds}
+    for r in J.jaccard_join(docs, words=3, **options).collect():
+        s = of.get(r.doc_id)
+        assert (r.class_id, r.n_links) == ((names[s], n[names[s]]) if s else (r.doc_id, 0))
+
+
 def test_empty_and_keep_one(frame, words):
     assert J.jaccard_join(frame([])).collect() == []
     a = words(100)
