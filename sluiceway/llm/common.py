@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
 import tempfile
@@ -18,29 +19,60 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; a folder of our own only where
-    that is unset, as in tests in local mode."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir.  Where that is unset, local mode
+    gets a folder of its own, as in tests; on a cluster it is an error, as executors would write to their own disks."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="sluiceway-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this library even when the session was started from another folder."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark
+_scratch: dict[str, tuple] = {}  # folder: the JVM and its Hadoop configuration, which outlive the session
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder for tables between steps.  It goes when the driver's Python ends, or by clear()."""
+    at = f"{shared_dir(spark)}/sluiceway/{spark.sparkContext.applicationId}"
+    if at not in _scratch:
+        _scratch[at] = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        if len(_scratch) == 1:
+            atexit.register(clear)
+    return at
+
+
+def _remove(jvm, conf, at: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def clear() -> None:
+    """Remove all tables between steps; results that were not read to their end can't be read any more."""
+    for at, (jvm, conf) in list(_scratch.items()):
+        try:
+            _remove(jvm, conf, at)
+        except Exception:  # noqa: BLE001  the JVM may be gone; what is left lies in the folder for checkpoints
+            pass
+        del _scratch[at]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, so a lost executor costs
     only the tasks that it ran, and a second use doesn't compute it again."""
-    at = f"{shared_dir(df.sparkSession)}/sluiceway/{tag}-{uuid.uuid4().hex}"
+    at = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of materialize() that nothing will read again."""
+    for t in tables:
+        _remove(*_scratch[os.path.dirname(t.written_at)], t.written_at)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -69,6 +101,23 @@ def tidy(f):
     return run
 
 
+def keep_rows(docs: DataFrame, found: DataFrame, print_: Column, most: int) -> DataFrame:
+    """The rows of docs that stay, with all their columns.  found has a row for each row of docs: doc_id, print (the value of
+    print_, binary), kept, and once (of equal rows that stay only one does).  Lists of up to so many rows are broadcast."""
+    state = found.groupBy("doc_id", "print").agg(F.max("kept").alias("stays"), F.max("once").alias("once"), F.count(F.lit(1)).alias("copies"))
+    # few beside the rows that simply stay; names that no column of docs has
+    odd = state.filter("not stays or once and copies > 1").select(F.col("doc_id").alias("\x01id"), F.col("print").alias("\x01print"), "stays")
+    odd = materialize(odd, "odd-rows")
+    dropped, repeated = (odd.filter(c).select("\x01id", "\x01print") for c in ("not stays", "stays"))
+    same = F.col("doc_id").eqNullSafe(F.col("\x01id")) & (print_ == F.col("\x01print"))
+    out = docs.join(small(dropped, most), same, "left_anti")
+    if repeated.isEmpty():
+        return out
+    twice = small(repeated, most)
+    one = out.join(twice, same, "left_semi").withColumn("\x01key", print_).dropDuplicates(["doc_id", "\x01key"]).drop("\x01key")
+    return out.join(twice, same, "left_anti").unionByName(one)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else.  lower() is the quick way for texts that are all ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,11 +19,14 @@ def components(links: DataFrame) -> DataFrame:
         least = materialize(edges.groupBy("node").agg(F.min("near").alias("root"), F.count(F.lit(1)).alias("n")), "least")
         above = least.select(F.col("node").alias("root"), F.col("root").alias("top"))
         jumped = materialize(least.join(above, "root", "left").select("node", "n", F.col("root").alias("low"), F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "jumped")
+        release(least)
         if jumped.filter("n > 1 or moved").isEmpty():
+            release(edges)
             return jumped.select("node", "root")
-        met = edges.join(jumped, "node")
+        met, old = edges.join(jumped, "node"), edges
         edges = materialize(
             met.select("node", F.col("root").alias("near")).union(met.select(F.col("near").alias("node"), F.col("root").alias("near"))).filter("node <> near")
             .select(F.greatest("node", "near").alias("node"), F.least("node", "near").alias("near")).distinct(),
             "edges",
         )
+        release(old, jumped)

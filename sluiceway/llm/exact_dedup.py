@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, small
+from .common import ascii_lower, keep_rows, materialize
 
 #: A chunk ends after MIN code points or more where a word begins with such letters (one word in some thirty), so that cuts
 #: follow the content and meet again after an insertion; or it has MAX code points, or what is left.
 MIN_CHUNK, MAX_CHUNK, MARK = 256, 4096, "[a-d][n-z][a-h]"
-#: Broadcast the list of dropped rows up to this many rows (two longs and a digest: under 100 MB), else shuffle.
+#: Broadcast the list of dropped rows up to this many rows (a long and a digest of 32 bytes: under 100 MB), else shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -75,17 +75,7 @@ def exact_dedup(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    found = materialize(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "decisions")
-    key = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
-    state = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("copies"))
-    # few beside the rows that simply stay; names that no column of docs has
-    odd = materialize(state.filter("not stays or copies > 1").select(F.col("doc_id").alias("\x01id"), F.col("text_sha256").alias("\x01sha"), "stays"), "odd")
-    dropped, repeated = (odd.filter(c).select("\x01id", "\x01sha") for c in ("not stays", "stays"))
-    same = F.col("doc_id").eqNullSafe(F.col("\x01id")) & (key == F.col("\x01sha"))
-    out = docs.join(small(dropped, BROADCAST_ROWS), same, "left_anti")
-    if repeated.isEmpty():
-        return out
-    twice = small(repeated, BROADCAST_ROWS)
-    once = out.join(twice, same, "left_semi").withColumn("\x01key", key).dropDuplicates(["doc_id", "\x01key"]).drop("\x01key")
-    return out.join(twice, same, "left_anti").unionByName(once)
+    """The rows of docs that exact_dedup keeps, with all their columns: of equal texts the row with the largest doc_id, of
+    rows equal in both any one."""
+    found = exact_dedup(docs).select("doc_id", F.unhex("text_sha256").alias("print"), "kept", F.lit(True).alias("once"))
+    return keep_rows(docs, found, F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)), BROADCAST_ROWS)

@@ -5,9 +5,10 @@ ordered with rare ones first, and similar sets must share one of their first few
 
 * In a list, entries are in blocks of equal size, by position inside a block; a set skips all blocks whose size, and the
   rest of a block whose positions, leave too little room for the needed overlap.
-* In a long list the set with the fewest shingles of its own, in a stretch of sizes, is the pivot.  Sets verified against the pivot answer for each other:
-  the overlaps with the pivot bound the overlap of two sets from both sides, so that many pairs are settled without their
-  sets.  Sets with one pivot are paired once, in a list of that pivot, and not in each list that they share.
+* In a long list the set with the fewest shingles of its own, in a stretch of sizes, is the pivot.  Each class near one is
+  verified against it and described by its difference from it.  What two classes under one pivot have in common follows
+  from their differences, so their answers are derived from the pivot's, without their sets, and they are skipped in all
+  other lists.
 * Where only components are asked for, as by keep_one, sets already in one component need no further look.
 
 The result is exact: a bound only ever drops pairs that can't reach the threshold, or takes pairs that must.
@@ -22,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small, tidy
+from .common import keep_rows, materialize, release, small, tidy
 from .components import components
 from .shingles import least_size, needed_overlap, set_key, shingle_sets
 
 #: Counters of shingles by hash, for the order only: a fixed number, whatever the input.
 COUNTERS, BLOCKS = 1 << 22, 64
-#: A shingle that seems to be in more classes than this gets several lists; a stretch of this many sets gets a pivot.
+#: A list has at most so many entries, or else parts, which meet in pairs; a stretch of this many sets gets a pivot.
 LONG_LIST, PIVOT_FROM = 4096, 8
+#: A class in more pairs than this has its set dealt to several tasks.
+HOT_CLASS = 64
 #: Broadcast a list of document ids up to so many (16 MB or so), else shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -49,11 +52,12 @@ def _codes(c: pa.Array) -> np.ndarray:
     return c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def describe(docs: DataFrame, words: int) -> DataFrame:
-    """Per document doc_id, n, key; and, with a null key, partial counts of shingles by block of counters."""
+def describe(docs: DataFrame, words: int, prints: bool = False) -> DataFrame:
+    """Per document doc_id, n, key (and a digest of its text, if prints); and, with a null key, partial counts of shingles
+    by block of counters.  Counts stop at 65535 in a task; they only decide on the order of shingles."""
 
     def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, count, seen = ["doc_id", "n", "key", "block", "counts"], np.zeros(COUNTERS, np.uint32), set()
+        names, count, seen = ["doc_id", "n", "key", "print", "block", "counts"], np.zeros(COUNTERS, np.uint32), set()
         for batch in batches:
             keys, sizes = [], []
             for s in shingle_sets(batch.column(1), words):
@@ -63,13 +67,15 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                     seen.add(k)
                     np.add.at(count, s >> np.uint64(42), 1)
             none = pa.nulls(len(keys))
-            yield _columns(names, batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary()))
+            yield _columns(names, batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), batch.column(2), none.cast(pa.int32()), none.cast(pa.binary()))
         if seen:
             parts = np.minimum(count, 65535).astype("<u2").reshape(BLOCKS, -1)
             none = pa.nulls(BLOCKS)
-            yield _columns(names, none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()))
+            yield _columns(names, none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()))
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(tidy(told), "doc_id long, n long, key binary, block int, counts binary"), "shingles")
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) if prints else F.lit(None).cast("binary")
+    rows = docs.select("doc_id", "text", digest.alias("print"))
+    return materialize(rows.mapInArrow(tidy(told), "doc_id long, n long, key binary, print binary, block int, counts binary"), "shingles")
 
 
 def counted(described: DataFrame) -> np.ndarray:
@@ -124,9 +130,11 @@ def entries(docs: DataFrame, counts: np.ndarray, words: int, num: int, den: int,
     return docs.select("text").mapInArrow(tidy(prefixes), "token long, salt int, salts int, key binary, n int, pos int")
 
 
-def _lists(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
-    """Whole lists, from rows sorted so that those of a list follow each other; one batch has whole lists only."""
+def _lists(batches: Iterable[pa.RecordBatch], by: list[str], most: int | None = None) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Whole lists, from rows sorted so that those of a list follow each other: batches of whole lists only, and 0.  A list of
+    more rows than `most` comes alone, in parts with numbers from 0 on, so that no more of it is held."""
     held: list[pa.RecordBatch] = []
+    rows = part = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -135,29 +143,42 @@ def _lists(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.Reco
             v = batch.column(c).to_numpy()
             new[1:] |= v[1:] != v[:-1]
         if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in by):
-            yield _joined(held)
-            held = []
+            yield _joined(held), part
+            held, rows, part = [], 0, 0
         at = np.flatnonzero(new)
         if len(at):
-            held.append(batch.slice(0, int(at[-1])))
-            yield _joined(held)
+            if held and part:  # the end of a list in parts comes alone
+                yield _joined([*held, batch.slice(0, int(at[0]))]), part
+                held, part, first = [], 0, int(at[0])
+            else:
+                first = 0
+            if int(at[-1]) > first:
+                held.append(batch.slice(first, int(at[-1]) - first))
+            if held:
+                yield _joined(held), 0
             held = [batch.slice(int(at[-1]))]
+            rows = held[0].num_rows
         else:
             held.append(batch)
+            rows += batch.num_rows
+        while most and rows > most:
+            whole = _joined(held)
+            yield whole.slice(0, most), part
+            held, rows, part = [whole.slice(most)], rows - most, part + 1
     if held:
-        yield _joined(held)
+        yield _joined(held), part
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def lists(found: DataFrame, num: int, den: int, pivot_from: int) -> DataFrame:
+def lists(found: DataFrame, num: int, den: int, pivot_from: int, long_list: int = LONG_LIST) -> DataFrame:
     """The entries of all lists with at least two classes or of several parts, and the pivot of each (null in a short
-    stretch)."""
+    stretch).  A list that has more entries than its counter said is cut into parts where it is built."""
 
     def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _lists(batches, ["token", "salt"]):
+        for batch, part in _lists(batches, ["token", "salt"], 2 * long_list):
             token, salt, key = batch.column("token").to_numpy(), batch.column("salt").to_numpy(), _codes(batch.column("key"))
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
@@ -165,7 +186,7 @@ def lists(found: DataFrame, num: int, den: int, pivot_from: int) -> DataFrame:
             once[1:] |= key[1:] != key[:-1]  # a class comes once from each task
             at = np.flatnonzero(once)
             group = np.cumsum(new[at]) - 1
-            many = (np.bincount(group)[group] > 1) | (batch.column("salts").to_numpy()[at] > 1)  # parts of a long list meet later
+            many = (np.bincount(group)[group] > 1) | (batch.column("salts").to_numpy()[at] > 1) | (part > 0)  # parts of a long list meet later
             if not many.any():
                 continue
             at, group = at[many], group[many]
@@ -181,10 +202,18 @@ def lists(found: DataFrame, num: int, den: int, pivot_from: int) -> DataFrame:
                     a = c
             keep = batch.take(pa.array(at))
             chosen = batch.column("key").take(pa.array(pivot, mask=pivot < 0))
-            yield pa.RecordBatch.from_arrays([*keep.columns, chosen], names=[*keep.schema.names, "pivot"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, chosen, pa.array(np.full(len(at), part), pa.int32())], names=[*keep.schema.names, "pivot", "part"])
 
     dealt = found.repartition("token", "salt").sortWithinPartitions("token", "salt", "key")
-    return materialize(dealt.mapInArrow(tidy(told), "token long, salt int, salts int, key binary, n int, pos int, pivot binary"), "lists")
+    out = materialize(dealt.mapInArrow(tidy(told), "token long, salt int, salts int, key binary, n int, pos int, pivot binary, part int"), "lists")
+    cut = out.filter("part > 0").select("token").distinct()
+    if cut.isEmpty():
+        return out.drop("part")
+    # a row for each part of such a list: entries by long_list at most
+    parts = out.join(cut, "token", "left_semi").select("token", "salt", "part").distinct().groupBy("token").agg(F.sort_array(F.collect_list(F.struct("salt", "part"))).alias("p"))
+    parts = materialize(parts.select("token", F.size("p").alias("now"), F.posexplode("p").alias("at", "p")).select("token", "now", "at", "p.salt", "p.part"), "list-parts")
+    told_anew = out.join(small(parts, BROADCAST_IDS), ["token", "salt", "part"], "left")
+    return told_anew.select("token", F.coalesce("at", "salt").alias("salt"), F.coalesce("now", "salts").alias("salts"), "key", "n", "pos", "pivot")
 
 
 def candidates(n, pos, comp, salt, pivot, common, pivot_n, num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -224,52 +253,116 @@ def candidates(n, pos, comp, salt, pivot, common, pivot_n, num: int, den: int) -
             yield i, j, sure
 
 
-#: The columns of entries of lists as they are paired.
-ENTRY = ["token", "salt", "salts", "n", "pos", "key", "comp", "pivot", "common"]
+def _parts(rows: DataFrame) -> DataFrame:
+    """The rows of each part of a list, once for each part that it meets: low and high are the two."""
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return rows.withColumns({"low": F.least("salt", "part"), "high": F.greatest("salt", "part")})
 
 
-def one_pivot(against: DataFrame) -> DataFrame:
-    """key, root: the pivot that a class is listed under, one of those that it was verified against."""
-    return against.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("root"))
+def under_pivots(against: DataFrame, num: int, den: int, long_list: int = LONG_LIST, as_pairs: bool = False) -> DataFrame:
+    """a, b, n: the links between classes under one pivot.  Those of a class are counted, n in rows whose b is null; rows
+    with n = 0 are as many links (a, b) as join the components.  as_pairs: all links as rows (a, b) instead.
 
+    against: a, b (the pivot), linked, missing and extra (the difference of a from b).  With |b| known, two classes have
+    |b| - |missing| - |other missing| shingles in common, and one more for each shingle that both differences have."""
+    rows = against.select(F.xxhash64("b").alias("token"), F.col("b").alias("pivot"), F.col("a").alias("key"), "linked", F.size("missing").alias("missing"), F.concat("missing", "extra").alias("diff"))
+    sizes = materialize(rows.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / long_list).cast("int").alias("salts")), "pivot-lists")
+    rows = rows.join(small(sizes, BROADCAST_IDS), "pivot").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
 
-def of_pivots(found: DataFrame, against: DataFrame, long_list: int) -> DataFrame:
-    """For each pivot a list of the classes under it, in parts where it is long.  All of them are at place 0, so that none
-    is skipped by position; comp is the class itself."""
-    rows = materialize(one_pivot(against).join(against.select(F.col("a").alias("key"), F.col("b").alias("root"), "overlap"), ["key", "root"]), "under-pivots")
-    sizes = materialize(rows.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / long_list).cast("int").alias("salts")), "pivot-lists")
-    rows = rows.join(sizes, "root")
-    size = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("int")
-    salt = F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")
-    return rows.select(
-        F.xxhash64("root").alias("token"), salt.alias("salt"), "salts", size.alias("n"), F.lit(0).alias("pos"), "key", F.col("key").alias("comp"), F.col("root").alias("pivot"), F.col("overlap").alias("common")
-    )
+    def met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _ in _lists(batches, ["token", "low", "high"]):
+            pivot, low = _codes(batch.column("pivot")), batch.column("low").to_numpy()
+            new = np.ones(len(pivot), bool)  # two pivots of one token differ here
+            new[1:] = (pivot[1:] != pivot[:-1]) | (low[1:] != low[:-1]) | np.diff(batch.column("high").to_numpy()).astype(bool) | (np.diff(batch.column("token").to_numpy()) != 0)
+            starts = np.flatnonzero(new)
+            got, held = [], 0
+
+            def told_of(got, key=batch.column("key")):
+                a, b, n = (np.concatenate(x) for x in zip(*got, strict=True))
+                return _columns(["a", "b", "n"], key.take(pa.array(a)), key.take(pa.array(b, mask=b < 0)), pa.array(n, pa.int64()))
+
+            for i, j in zip(starts.tolist(), np.append(starts[1:], len(pivot)).tolist(), strict=True):
+                for a, b, n in _answers(batch.slice(i, j - i), num, den, as_pairs):
+                    got.append((i + a, np.where(b < 0, -1, i + b), n))
+                    held += len(a)
+                    if held > 50_000:
+                        yield told_of(got)
+                        got, held = [], 0
+            if got:
+                yield told_of(got)
+
+    dealt = _parts(rows).select("token", "low", "high", "pivot", "salt", "key", "linked", "missing", "diff").repartition("token", "low", "high")
+    return materialize(dealt.sortWithinPartitions("token", "low", "high", "pivot", "key").mapInArrow(tidy(met), "a binary, b binary, n long"), "under-pivots")
+
+
+def _answers(part: pa.RecordBatch, num: int, den: int, as_pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The links inside one pivot's list, as places (a, b or -1, n): see under_pivots."""
+    m = part.num_rows
+    if m < 2:
+        return
+    key, pivot = part.column("key").to_pylist(), part.column("pivot")[0].as_py()
+    n, size = np.array([int.from_bytes(k[:4], "big") for k in key]), int.from_bytes(pivot[:4], "big")
+    missing, salt = part.column("missing").to_numpy().astype(np.int64), part.column("salt").to_numpy()
+    apart = part.column("low")[0].as_py() != part.column("high")[0].as_py()
+    flat = part.column("diff")
+    bounds, values = flat.offsets.to_numpy(), np.unique(flat.flatten().to_numpy(), return_inverse=True)[1]
+    bounds = bounds - bounds[0]
+    owner = np.repeat(np.arange(m), np.diff(bounds))
+    by_value = np.argsort(values, kind="stable")
+    holders, heads = owner[by_value], np.searchsorted(values[by_value], np.arange(len(values) + 1))
+    count, label = np.zeros(m, np.int64), np.where(part.column("linked").to_numpy(zero_copy_only=False), -1, np.arange(m))
+    for i in range(m - 1):
+        mine = values[bounds[i] : bounds[i + 1]]
+        starts, lengths = heads[mine], heads[mine + 1] - heads[mine]
+        shared = np.bincount(holders[_ranges(starts, lengths)], minlength=m)[i + 1 :]
+        overlap = size - missing[i] - missing[i + 1 :] + shared
+        good = overlap >= needed_overlap(n[i], n[i + 1 :], num, den)
+        if apart:
+            good &= salt[i + 1 :] != salt[i]
+        js = i + 1 + np.flatnonzero(good)
+        if not len(js):
+            continue
+        if as_pairs:
+            yield np.full(len(js), i), js, np.zeros(len(js), np.int64)
+            continue
+        count[i] += len(js)
+        count[js] += 1
+        other = js[label[js] != label[i]]
+        if len(other):
+            names, one = np.unique(label[other], return_index=True)
+            yield np.full(len(one), i), other[one], np.zeros(len(one), np.int64)
+            label[np.isin(label, names)] = label[i]
+    some = np.flatnonzero(count)
+    if len(some):
+        yield some, np.full(len(some), -1), count[some]
 
 
-def pairs(found: DataFrame, against: DataFrame, roots: DataFrame | None, num: int, den: int, long_list: int = LONG_LIST) -> DataFrame:
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each range, one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def pairs(found: DataFrame, against: DataFrame, roots: DataFrame | None, num: int, den: int) -> DataFrame:
     """a, b, sure: the pairs of classes that may be similar, each once; sure: that must be.  With roots only those of
-    different components; without it all but those of against.
+    different components; without it all but those of against, and of two classes under one pivot, which under_pivots has.
 
     found: the lists; against: overlaps with pivots (a, b, overlap); roots: components so far, or None.  The parts of a long list
     meet in pairs of parts, so that all pairs of entries are looked at and no task holds more than two parts."""
     told = against.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.col("overlap").alias("common"))
     rows = found.join(told, ["key", "pivot"], "left")
-    rows = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left") if roots else rows.join(one_pivot(against), "key", "left")
+    under = against.filter("missing is not null").select(F.col("a").alias("key"), F.col("b").alias("root"))
+    rows = rows.join(roots.select(F.col("node").alias("key"), "root") if roots else under, "key", "left")
     rows = rows.withColumn("common", F.when(F.col("key") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("common", F.lit(-1))))
     rows = rows.withColumn("comp", F.coalesce("root", "key"))
-    if roots:
-        whole, long = rows.filter("salts = 1"), rows.filter("salts > 1")
-        # a long list that is one component by now, as that of a large group of near copies is, needs no pairs of parts
-        open_ = materialize(long.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("token"), "open-lists")
-        rows = whole.unionByName(long.join(small(open_, BROADCAST_IDS), "token", "left_semi"))
-    else:  # comp is the pivot that a set is listed under; pairs inside one are those of its list
-        rows = rows.select(*ENTRY).unionByName(of_pivots(found, against, long_list).select(*ENTRY))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    rows = rows.select("token", F.least("salt", "part").alias("low"), F.greatest("salt", "part").alias("high"), "salt", "n", "pos", "key", "comp", "pivot", "common")
+    # a long list that is one component by now, or all under one pivot, as that of a large group of near copies is, needs no pairs of parts
+    whole, long = rows.filter("salts = 1"), rows.filter("salts > 1")
+    open_ = materialize(long.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("token"), "open-lists")
+    rows = whole.unionByName(long.join(small(open_, BROADCAST_IDS), "token", "left_semi"))
+    rows = _parts(rows).select("token", "low", "high", "salt", "n", "pos", "key", "comp", "pivot", "common")
     names = ["a", "b", "na", "nb", "pa", "pb", "sure"]
 
     def met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _lists(batches, ["token", "low", "high"]):
+        for batch, _ in _lists(batches, ["token", "low", "high"]):
             token, low, high = (batch.column(c).to_numpy() for c in ("token", "low", "high"))
             salt, n, pos = (batch.column(c).to_numpy().astype(np.int64) for c in ("salt", "n", "pos"))
             comp, pivot = _codes(batch.column("comp")), _codes(batch.column("pivot"))
@@ -314,9 +407,23 @@ def pairs(found: DataFrame, against: DataFrame, roots: DataFrame | None, num: in
     return materialize(out, "pairs")
 
 
-def verified(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """a, b, overlap, linked for the pairs (a, b): only the texts of documents that stand for a class in a pair are read
-    into sets, and each pair meets its two sets."""
+def _with_sets(rows: DataFrame, asked: DataFrame, sets: DataFrame, by: str, other: str, name: str) -> DataFrame:
+    """rows, one for each pair asked, with the set of the class `by` in a column.  A class in very many pairs has its set in
+    several tasks."""
+    hot = materialize(asked.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_CLASS).select(by, F.ceil(F.col("n") / HOT_CLASS).cast("int").alias("salts")), "hot-classes")
+    sets = sets.select(F.col("key").alias(by), F.col("set").alias(name))
+    if hot.isEmpty():
+        return rows.join(sets, by)
+    hot, salts = small(hot, BROADCAST_IDS), F.coalesce("salts", F.lit(1))
+    dealt = rows.join(hot, by, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
+    copies = sets.join(hot, by, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copies, [by, "salt"]).drop("salt")
+
+
+def verified(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int, differences: bool = False) -> DataFrame:
+    """a, b, overlap, linked for the written pairs (a, b): only the texts of documents that stand for a class in a pair are
+    read into sets, and each pair meets its two sets.  differences: also missing and extra, the shingles that b has and a
+    doesn't and the other way round, where they are fewer than those in common; else null."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,38 +439,50 @@ def verified(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     texts = docs.select("doc_id", "text")
     texts = texts.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi").union(texts.filter("doc_id is null"))
     known = materialize(texts.select("text").mapInArrow(tidy(sets), "key binary, set array<bigint>"), "sets")
-    both = asked.select("a", "b").join(known.select(F.col("key").alias("a"), F.col("set").alias("s")), "a").join(known.select(F.col("key").alias("b"), F.col("set").alias("t")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("overlap"), (F.size("s") + F.size("t")).alias("sizes"))
-    linked = F.col("overlap") * (num + den) >= F.col("sizes") * num
-    return materialize(common.select("a", "b", "overlap", linked.alias("linked")).distinct(), "verified")
+    both = _with_sets(_with_sets(asked.select("a", "b"), asked, known, "a", "b", "s"), asked, known, "b", "a", "t")
+    common = both.withColumn("overlap", F.size(F.array_intersect("s", "t")))
+    linked = F.col("overlap") * (num + den) >= (F.size("s") + F.size("t")) * num
+    told = ["a", "b", "overlap", linked.alias("linked")]
+    if differences:
+        near = F.size("s") + F.size("t") <= 3 * F.col("overlap")
+        told += [F.when(near, F.array_except(x, y)).alias(name) for x, y, name in (("t", "s", "missing"), ("s", "t", "extra"))]
+    out = materialize(common.select(*told).dropDuplicates(["a", "b"]), "verified")  # rows that repeat a doc_id
+    release(ids, known)
+    return out
 
 
 def to_pivots(found: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a class and the pivot that it meets most often; and of the pivots of the parts of a long list
-    and the least of them.  Which pairs these are decides on speed only."""
+    """For each class near a pivot the pair (a, b) of it and one pivot, the one that it meets most often; for the pivots of
+    the parts of a long list the least of them.  Which pairs these are decides on speed only."""
     shared = found.filter("pivot is not null and key <> pivot").groupBy(F.col("key").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    best = shared.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b")
     heads = found.filter("salts > 1 and key = pivot").select("token", F.col("key").alias("a")).distinct()
     least = heads.groupBy("token").agg(F.min("a").alias("b"))
-    linked = heads.join(least, "token").filter("a <> b").select("a", "b")
-    return materialize(best.union(linked).distinct(), "to-pivots")
+    linked = heads.join(least, "token").filter("a <> b").select("a", "b", F.lit(2**62).alias("c"))
+    return materialize(shared.unionByName(linked).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b"), "to-pivots")
 
 
-def _classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows described; doc_id, n, key of each document; key and least doc_id of each class."""
-    described = describe(docs, words)
-    each = described.filter("key is not null").select("doc_id", "n", "key")
+def _classes(docs: DataFrame, words: int, prints: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows described; doc_id, n, key, print of each document; key and least doc_id of each class."""
+    described = describe(docs, words, prints)
+    each = described.filter("key is not null").select("doc_id", "n", "key", "print")
     return described, each, materialize(each.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
 
 
-def _linked(docs: DataFrame, described: DataFrame, classes: DataFrame, words: int, num: int, den: int, long_list: int, pivot_from: int, every: bool) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of classes, a the lesser key, each once, and the roots of their components; but for every only as many
-    links as make the components."""
-    found = lists(entries(docs, counted(described), words, num, den, long_list), num, den, pivot_from)
-    first = verified(to_pivots(found), docs, classes, words, num, den)
-    links = first.filter("linked").select("a", "b")
-    roots = components(links)
-    more = pairs(found, first, None if every else roots, num, den, long_list)
+def _ends(links: DataFrame) -> DataFrame:
+    """key, n: how many of the links (a, b) each class is in."""
+    return links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _linked(docs: DataFrame, described: DataFrame, classes: DataFrame, words: int, num: int, den: int, long_list: int, pivot_from: int, every: bool, as_pairs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """For every the number of links of each class (key, n), or with as_pairs the links (a, b), a the lesser key, each once;
+    without it only as many links as make the components.  And the roots of the components."""
+    found = lists(entries(docs, counted(described), words, num, den, long_list), num, den, pivot_from, long_list)
+    first = verified(to_pivots(found), docs, classes, words, num, den, True)
+    links = materialize(first.filter("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pivot-links")
+    near = under_pivots(first.filter("missing is not null"), num, den, long_list, as_pairs) if every else None
+    joins = near.filter("b is not null").select("a", "b") if every else None
+    roots = components(links.union(joins) if every else links)
+    more = pairs(found, first, None if every else roots, num, den)
     second = verified(more.filter("not sure"), docs, classes, words, num, den)
     again = materialize(more.filter("sure").select("a", "b").union(second.filter("linked").select("a", "b")), "links")
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
@@ -372,45 +491,57 @@ def _linked(docs: DataFrame, described: DataFrame, classes: DataFrame, words: in
         across = again.join(root("a"), "a", "left").join(root("b"), "b", "left")
         across = across.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b").distinct()
     found_roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across))
-    return links.union(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), found_roots
+    both = links.union(again)
+    if as_pairs:
+        return both.union(joins).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), found_roots
+    if every:
+        counts = _ends(both).union(near.filter("b is null").select(F.col("a").alias("key"), "n")).groupBy("key").agg(F.sum("n").alias("n"))
+        return materialize(counts, "link-counts"), found_roots
+    return both, found_roots
 
 
-def _components(each: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, class_id, component_id of each class."""
+def _components(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, class_id, component_id, root of each class; a root is the key that stands for its component."""
     placed = materialize(classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root")), "placed")
     least = materialize(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least-ids")
-    return materialize(placed.join(least, "root").select("key", F.col("doc_id").alias("class_id"), "component_id"), "class-components")
+    return materialize(placed.join(least, "root").select("key", F.col("doc_id").alias("class_id"), "component_id", "root"), "class-components")
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, long_list: int = LONG_LIST, pivot_from: int = PIVOT_FROM, every: bool = True) -> DataFrame:
+def jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, long_list: int = LONG_LIST, pivot_from: int = PIVOT_FROM) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, n_links for every row of docs (doc_id, text; other columns are ignored):
     the size of its set of shingles, the least doc_id with that set, the least doc_id of its component, and how many other
     sets its set is linked to.  Two documents are linked when the Jaccard similarity of their sets is at least num / den.
     Texts without words have an empty set and no link, and a class and component of their own; a null text is empty.  Rows
-    that repeat a doc_id are taken each for itself; a null doc_id is never the least, where its component has another.
-    every: else only links between components are looked for, and there is no n_links."""
+    that repeat a doc_id are taken each for itself; a null doc_id is never the least, where its component has another."""
     described, each, classes = _classes(docs, words)
-    links, roots = _linked(docs, described, classes, words, num, den, long_list, pivot_from, every)
-    component = _components(each, classes, roots)
-    out = each.join(component, "key", "left")
-    named = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")]
-    if not every:
-        return out.select(*named)
-    links = materialize(links, "all-links")
-    counts = materialize(links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links")), "link-counts")
-    return out.join(counts, "key", "left").select(*named, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    counts, roots = _linked(docs, described, classes, words, num, den, long_list, pivot_from, True)
+    out = each.join(_components(classes, roots), "key", "left").join(counts.withColumnRenamed("n", "n_links"), "key", "left")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
 
 
 def jaccard_links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, long_list: int = LONG_LIST, pivot_from: int = PIVOT_FROM) -> DataFrame:
     """a, b: the class_ids of each two different sets that are linked, each pair once.  With the class_id of jaccard_join as
     membership these are all links.  The class_id of a set that only null doc_ids have is null."""
     described, _, classes = _classes(docs, words)
-    links, _ = _linked(docs, described, classes, words, num, den, long_list, pivot_from, True)
+    links, _ = _linked(docs, described, classes, words, num, den, long_list, pivot_from, True, True)
     name = lambda c: classes.select(F.col("key").alias(c), F.col("doc_id").alias(f"{c}_id"))
     return links.join(name("a"), "a").join(name("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their component or have none."""
-    others = materialize(jaccard_join(docs, every=False, **options).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(small(others, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, long_list: int = LONG_LIST, pivot_from: int = PIVOT_FROM) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component: of each one row stays, whatever doc_ids
+    repeat.  It is that with the least doc_id (a null one only where there is no other), among those with that doc_id the
+    one whose text has the least digest, and of rows equal in both any one.  Rows without words all stay."""
+    described, each, classes = _classes(docs, words, True)
+    _, roots = _linked(docs, described, classes, words, num, den, long_list, pivot_from, False)
+    rooted = _components(classes, roots).select("key", "root")
+    rows = each.filter("n > 0").select("doc_id", "print", "key").join(rooted, "key")
+    rows = materialize(rows.select("doc_id", "print", "root"), "rooted")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("best"))
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("print") == F.col("best.print"))
+    found = rows.join(materialize(best, "best"), "root").select("doc_id", "print", kept.alias("kept"), F.lit(True).alias("once"))
+    blank = each.filter("n = 0").select("doc_id", "print", F.lit(True).alias("kept"), F.lit(False).alias("once"))
+    return keep_rows(docs, found.unionByName(blank), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), BROADCAST_IDS)

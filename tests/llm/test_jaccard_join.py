@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -80,6 +81,68 @@ def test_all_links_are_found(frame, words, options):
         assert (r.class_id, r.n_links) == ((names[s], n[names[s]]) if s else (r.doc_id, 0))
 
 
+def test_lists_longer_than_their_counters_say(spark, frame, words, monkeypatch):
+    """Lists are cut where they are built, whatever the counters said."""
+    base = words(60, 1)
+    rows = [(i, near(base, i % 4, i)) for i in range(60)] + [(100 + i, words(50, 3) + " " + words(3 + i, 50 + i)) for i in range(30)]
+    monkeypatch.setattr(J, "counted", lambda described: np.zeros(J.COUNTERS, np.uint32))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = J.jaccard_join(frame(rows), words=3, num=70, den=100, long_list=2, pivot_from=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute(rows, 3, 70, 100)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.data())
+def test_lists_come_whole_or_in_numbered_parts(data):
+    sizes = data.draw(st.lists(st.integers(1, 9), max_size=8))
+    rows = [i for i, n in enumerate(sizes) for _ in range(n)]
+    cuts = sorted(data.draw(st.lists(st.integers(0, len(rows)), max_size=6)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[a:b], pa.int64())], names=["t"]) for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+    most = data.draw(st.sampled_from([None, 2, 4]))
+    out, last = [], (None, None)
+    for batch, part in J._lists(iter(batches), ["t"], most):
+        got = batch.column("t").to_pylist()
+        if part:
+            assert len(set(got)) == 1 and last == (got[0], part - 1)
+        else:
+            assert got[0] != last[0]
+        last = (got[-1], part)
+        out += got
+    assert out == rows
+
+
+def brute_keep(rows, n, num, den):
+    """By row: the first of each component by (doc_id, nulls last; digest of the text); rows without words stay."""
+    sets = [brute_set(t, n) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for i, (d, t) in enumerate(rows):
+        if sets[i]:
+            rank = (d is None, d or 0, hashlib.sha256((t or "").encode()).digest(), i)
+            best[group[i]] = min(rank, best.get(group[i], rank))
+    stay = {rank[-1] for rank in best.values()} | {i for i, s in enumerate(sets) if not s}
+    return sorted(repr(rows[i]) for i in stay)
+
+
+@pytest.mark.parametrize("options", [{}, {"long_list": 2, "pivot_from": 2}])
+def test_keep_one_drops_rows_not_ids(frame, words, options):
+    a, b, c = words(100, 1), words(80, 2), words(60, 3)
+    rows = [(5, a), (11, a), (11, b), (11, near(b, 1, 9)), (12, near(b, 1, 9)), (None, c), (None, near(c, 1, 4)), (None, near(a, 1, 5)), (20, None), (20, ""), (20, ""), (None, None)]
+    rows += [(30, c + " z"), (30, c + " z"), (31, words(70, 5)), (31, words(70, 6)), (31, words(70, 6)), (None, words(40, 8)), (None, words(40, 8))]
+    docs = frame(rows)
+    got = sorted(repr((r.doc_id, r.text)) for r in J.keep_one(docs, words=3, **options).collect())
+    assert got == brute_keep(rows, 3, 80, 100)
+    assert "(11, " + repr(b) + ")" in got or "(11, " + repr(near(b, 1, 9)) + ")" in got
+
+
 def test_empty_and_keep_one(frame, words):
     assert J.jaccard_join(frame([])).collect() == []
     a = words(100)
