@@ -1,15 +1,20 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text.  What a classifier and the surrounding elements say about a block becomes its
-capacity to the source (content) or the sink (boilerplate); blocks that follow each other, and blocks under one parent,
-are joined by smoothness edges.  The minimum cut of this network labels the blocks.
+A page is cut into blocks of text.  A classifier says of each block by its text, the elements around it and their hints (class,
+id, role) what it costs to call it content or boilerplate: these are its capacities to the source and the sink.  Blocks that
+follow each other, and blocks under one parent, are joined by smoothness edges.  The minimum cut labels the blocks.
+
+All costs are learned from a sample of the pages: blocks that elements such as article and nav place without doubt are the
+first labels, blocks that the classifier is sure of join them, and how often neighbours agree gives the edges.  Half of the
+examples have their elements hidden, so that texts and hints learn to do without.  Weights start from those given below.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+import zlib
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,66 +26,115 @@ from .common import tidy
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z|(?=<))|<[!?/][^>]*(?:>|\Z)", re.S)
 HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-#: Words in class, id and role that mark boilerplate.
-BAD_HINT = re.compile(
-    r"(?<![a-z])(?:nav|navigation|navbar|menu|breadcrumbs?|footer|masthead|(?:site|page|top|global)-?header|banner|sidebar|aside|complementary|ads?|adverts?|advertisement|sponsored|promo|"
-    r"cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|comments?|"
-    r"disqus|replies|respond|copyright|legal|toolbar|pagination|pager|form|contentinfo)(?![a-z])",
-    re.I,
-)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
     "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br",
+    "math", "mfrac", "mi", "mn", "mo", "mover", "mrow", "msqrt", "msub", "msubsup", "msup", "mtext", "munder",
 }
-#: Elements whose text is never the article's.
-NEVER = {"head", "select", "option", "button", "svg", "math", "object", "canvas", "audio", "video", "datalist", "dialog"}
-BAD, GOOD = {"nav", "footer", "aside", "form", "menu", "fieldset"}, {"article", "main"}
+#: Elements whose text is a control or markup, not text of the page.
+NEVER = {"head", "select", "option", "button", "svg", "canvas", "audio", "video", "datalist", "dialog"}
+BAD, GOOD = ("nav", "footer", "aside", "form", "menu", "fieldset"), {"article", "main"}
 #: Elements whose parent is what their text belongs to.
 LEAVES = {"p", "li", "ul", "ol", "dl", "td", "th", "tr", "tbody", "table", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "figcaption"}
-#: A start tag that ends an open element of the same kind.
+#: A start tag that ends an open element of such a kind; of these and the lists and tables the nearest one counts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SCOPES = {*ENDS, "ul", "ol", "table", "dl", "select"}
+
+#: Words in class, id and role that mark boilerplate: in any name, and as a whole name only.
+STRONG = {
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "cookie", "cookies", "consent", "advert", "adverts", "advertisement",
+    "sponsored", "promo", "newsletter", "subscribe", "comment", "comments", "disqus", "pagination", "pager", "toolbar", "contentinfo", "complementary",
+}
+WEAK = {
+    "header", "masthead", "banner", "aside", "ad", "ads", "notice", "alert", "popup", "modal", "overlay", "signup", "login", "search", "share", "sharing", "social",
+    "related", "recommended", "widget", "replies", "respond", "copyright", "legal", "form",
+}
+#: Weights before the sample says otherwise.
+TEXT = {"one": -1.0, "words": 0.5, "linked": -2.0, "marks": 0.5, "ended": 0.5, "item": -0.5, "heading": 0.5}
+INSIDE, BY_TAG, AROUND, NAMED, PART = 4.0, -5.0, -3.0, -4.0, -1.5
+EDGES = (0.6, 1.2)
 
-#: Log-odds that elements and hints add to the classifier's, and its bound; weights of the smoothness edges.
-INSIDE, OUTSIDE, HINTED, BOUND = 5.0, -6.0, -6.0, 2.5
-ADJACENT, SIBLING = 0.6, 1.2
-#: The classifier is fitted on at most so many pages.
-MAX_TRAIN = 500
+#: Hints of so many elements around a block count, the nearest ones.
+NEAREST = 8
+#: The costs are fitted on at most so many pages, so many blocks of each, and so many hints.
+MAX_TRAIN, MAX_BLOCKS, MAX_HINTS = 500, 50, 200
 
 
 class Block:
-    __slots__ = ("text", "linked", "parent", "tag", "good", "bad", "hint", "never")
+    """text; parent, a number for the element that it belongs to; never; text features; signs, the names of others."""
+
+    __slots__ = ("text", "parent", "never", "own", "tags", "hints", "label")
+
+    def __init__(self, text: str, linked: int, tag: str, parent: int, never: bool, tags: list[str], hints: list[str], label: int):
+        self.text, self.parent, self.never, self.tags, self.hints, self.label = text, parent, never, tags, hints, label
+        words = text.count(" ") + 1
+        self.own = [1.0, min(float(np.log1p(words)), 6.0), linked / len(text), min(sum(map(text.count, ".!?,;")) / words, 1.0), float(text[-1] in ".!?:\"'"), float(tag == "li"), float(tag[0] == "h")]
+
+
+def names_of(attributes: str) -> list[str]:
+    """The names in class, id and role, lower-cased."""
+    return [x for h in HINT.findall(attributes) for x in h.strip("\"'").lower().split()]
 
-    def __init__(self, text: str, linked: int, parent: int, tag: str, good: bool, bad: bool, hint: bool, never: bool):
-        self.text, self.linked, self.parent, self.tag = text, linked, parent, tag
-        self.good, self.bad, self.hint, self.never = good, bad, hint, never
 
-    def features(self) -> list[float]:
-        t, n = self.text, len(self.text)
-        words = t.count(" ") + 1
-        return [1.0, min(np.log1p(words), 6.0), self.linked / n, min(sum(map(t.count, ".!?,;")) / words, 1.0), float(t[-1] in ".!?:\"'"), float(self.tag == "li"), float(self.tag[0] == "h")]
+def parts_of(name: str) -> list[str]:
+    found = re.findall("[a-z]+", name)
+    return found if found != [name] else []
+
+
+def prior(sign: str) -> float:
+    """The weight of a sign before the sample says otherwise.  i, o: inside the outermost article or main or the page
+    without one, or around it."""
+    kind, _, name = sign.partition(":")
+    if kind == "good":
+        return INSIDE
+    if kind == "tag":
+        return BY_TAG
+    if kind == "around":
+        return AROUND if name not in ("form", "fieldset") else -0.5
+    share = 1.0 if kind[0] == "i" else AROUND / NAMED if kind == "o" or name in STRONG else 0.2
+    if name in STRONG or name in WEAK and len(kind) == 1:
+        return NAMED * share
+    return PART * share if name in WEAK else 0.0
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of text of a page in order, white space in each turned into one space."""
+    """The blocks of text of a page in order, white space in each turned into one space, in time linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # open elements: name, number, hinted
-    number, at, size = 0, 0, len(page)
-    words: list[str] = []
-    linked = 0
+    stack: list[tuple[str, int, int, int]] = []  # open elements: name, number of its block parent, nearest of SCOPES, nearest not inline
+    hinted: list[tuple[int, list[str]]] = []  # place in the stack, names
+    count: Counter[str] = Counter()
+    base: tuple[int, dict[str, int]] | None = None  # outermost article or main: its place, and what is open around it
+    never = number = at = linked = 0
+    size, words = len(page), []
 
     def flush() -> None:
         nonlocal words, linked
         text = " ".join("".join(words).split())
         if text:
-            names = [s[0] for s in stack]
-            good = [i for i, x in enumerate(names) if x in GOOD]
-            inner = good[-1] if good else -1
-            tag = next((x for x in reversed(names) if x not in INLINE), "body")
-            parent = next((s[1] for s in reversed(stack) if s[0] not in INLINE and s[0] not in LEAVES), 0)
-            bad = any(x in BAD for x in names) or "header" in names and ("header" in names[:inner] if good else True)
-            out.append(Block(text, min(linked, len(text)), parent, tag, bool(good), bad, any(s[2] for s in stack if s[0] not in ("html", "body")), any(x in NEVER for x in names)))
+            block = stack[-1][3] if stack else -1
+            inside = base[0] if base else -1
+            tags, hints, doubt = [], [], False
+            for x in BAD:
+                around = base[1][x] if base else 0
+                if around:
+                    tags.append(f"around:{x}")
+                if count[x] > around:
+                    tags.append(f"tag:{x}")
+            if count["header"] and not base:
+                tags.append("tag:header")
+            bad = any(t[0] == "t" for t in tags)
+            for place, names in hinted[-NEAREST:]:
+                kind = "i" if place >= inside else "o"
+                for name in names:
+                    hints.append(f"{kind}:{name}")
+                    hints += [f"{kind}p:{x}" for x in parts_of(name)]
+                    doubt = doubt or kind == "i" and (name in WEAK or name in STRONG or any(x in STRONG for x in parts_of(name)))
+            if base and not bad and not doubt:
+                tags.append("good:")
+            label = 0 if bad else -1 if doubt or not base or any(t[0] == "a" and t[7:] not in ("form", "fieldset") for t in tags) else 1
+            out.append(Block(text, min(linked, len(text)), stack[block][0] if block >= 0 else "body", stack[-1][1] if stack else 0, never > 0, tags, list(dict.fromkeys(hints)), label))
         words, linked = [], 0
 
     def say(raw: str) -> None:
@@ -88,9 +142,37 @@ def blocks(page: str) -> list[Block]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             words.append(text)
-            if any(s[0] == "a" for s in stack):
+            if count["a"]:
                 linked += len(" ".join(text.split()))
 
+    def push(name: str, attributes: str) -> None:
+        nonlocal number, base, never
+        here = len(stack)
+        parent, scope, block = stack[-1][1:] if stack else (0, -1, -1)
+        if name not in INLINE:
+            block = here
+            if name not in LEAVES:
+                number += 1
+                parent = number
+        if name in GOOD and base is None:
+            base = here, {x: count[x] for x in BAD}
+        stack.append((name, parent, here if name in SCOPES else scope, block))
+        count[name] += 1
+        never += name in NEVER
+        if name not in ("html", "body") and "=" in attributes and (names := names_of(attributes)):
+            hinted.append((here, names))
+
+    def pop() -> str:
+        nonlocal base, never
+        name = stack.pop()[0]
+        count[name] -= 1
+        never -= name in NEVER
+        if base and base[0] == len(stack):
+            base = None
+        if hinted and hinted[-1][0] == len(stack):
+            hinted.pop()
+        return name
+
     while at < size:
         m = TAG.search(page, at)
         if m is None:
@@ -102,19 +184,15 @@ def blocks(page: str) -> list[Block]:
             continue
         name = m[2].lower()
         if m[1]:
-            if any(s[0] == name for s in stack):
-                if name not in INLINE:
-                    flush()
-                while stack:
-                    if stack.pop()[0] == name:
-                        break
-            elif name not in INLINE:
+            if name not in INLINE:
                 flush()
+            if count[name]:
+                while pop() != name:
+                    pass
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if name not in INLINE:
-                flush()
+            flush()
             at = end.end() if end else size
             continue
         if name in VOID:
@@ -125,16 +203,16 @@ def blocks(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             flush()
-            if stack and any(s[0] == "p" for s in stack):
-                while stack and stack.pop()[0] != "p":
-                    pass
-            if name in ENDS and stack and any(s[0] in ENDS[name] for s in stack):
-                k = max(i for i, s in enumerate(stack) if s[0] in ENDS[name])
-                if not any(s[0] in ("ul", "ol", "table", "dl", "select") for s in stack[k:]):
-                    del stack[k:]
+            while count["p"]:
+                pop()
+            if name in ENDS:
+                scope, end = stack[-1][2] if stack else -1, -1
+                while scope >= 0 and stack[scope][0] in ENDS[name]:
+                    end, scope = scope, stack[scope - 1][2] if scope else -1
+                while 0 <= end < len(stack):
+                    pop()
         if not m[3].rstrip().endswith("/"):
-            number += 1
-            stack.append((name, number, any(BAD_HINT.search(h) for h in HINT.findall(m[3])) and name not in GOOD))
+            push(name, m[3])
     flush()
     return out
 
@@ -201,47 +279,104 @@ def cut(to_source: list[float], to_sink: list[float], edges: list[tuple[int, int
                 nxt[a] += 1
 
 
-def main_text(page: str | None, weights: np.ndarray) -> str:
-    """The blocks of a page that the cut labels content, joined by newlines."""
-    found = [b for b in blocks(page or "") if not b.never]
-    if not found:
-        return ""
-    said = np.clip(np.array([b.features() for b in found]) @ weights, -BOUND, BOUND)
-    odds = [float(x) + INSIDE * b.good + OUTSIDE * b.bad + HINTED * b.hint - (3.0 if b.bad or b.hint else 0.0) for x, b in zip(said, found, strict=True)]
-    edges = [(i, i + 1, ADJACENT) for i in range(len(found) - 1)]
+class Costs:
+    """What the sample taught: weights by text feature and by sign, and those of the edges (adjacent; under one parent)."""
+
+    def __init__(self, text: np.ndarray, signs: dict[str, float], edges: tuple[float, float] = EDGES):
+        self.text, self.signs, self.edges = text, signs, edges
+
+    def odds(self, b: Block) -> float:
+        """The log-odds of content."""
+        signs = self.signs
+        return float(np.dot(b.own, self.text)) + sum(signs[s] if s in signs else prior(s) for s in (*b.tags, *b.hints))
+
+
+def network(found: list[Block], costs: Costs) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """The log-odds of each block and the smoothness edges."""
+    adjacent, sibling = costs.edges
+    edges = [(i, i + 1, adjacent) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if b.parent in last:
-            edges.append((last[b.parent], i, SIBLING))
+            edges.append((last[b.parent], i, sibling))
         last[b.parent] = i
+    return [costs.odds(b) for b in found], edges
+
+
+def main_text(page: str | None, costs: Costs) -> str:
+    """The blocks of a page that the cut labels content, joined by newlines."""
+    found = [b for b in blocks(page or "") if not b.never]
+    odds, edges = network(found, costs)
     keep = cut([max(0.0, o) for o in odds], [max(0.0, -o) for o in odds], edges)
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.3, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression of content on a block's own features; of one label, or none, a leaning to long sentences."""
-    w = np.array([-1.0, 0.5, -2.0, 0.5, 0.5, -0.5, 0.5])
-    if len(y) and 0 < y.sum() < len(y):
-        weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+def fit(own: np.ndarray, tags: list[list[str]], hints: list[list[str]], label: np.ndarray, agree: np.ndarray, steps: int = 150, rate: float = 0.5, ridge: float = 1e-3, turns: int = 2) -> Costs:
+    """Logistic regression, its weights drawn to the prior ones.  label: 1, 0, or -1 for blocks that join when the classifier
+    is sure of them.  agree: of neighbours, adjacent or under one parent, how many have one label and how many have two."""
+    edges = tuple(float(np.clip(0.5 * np.log((same + 1) / (other + 1)), 0.1, 2.0)) if same + other else old for (same, other), old in zip(agree, EDGES, strict=True))
+    known = Counter(s for h in hints for s in h)
+    names = sorted({s for t in tags for s in t}) + [s for s, n in sorted(known.items(), key=lambda x: (-x[1], x[0]))[:MAX_HINTS] if n > 4]
+    start = np.array([*TEXT.values(), *map(prior, names)])
+    place, k = {s: i for i, s in enumerate(names)}, len(TEXT)
+    x = np.zeros((len(label), len(start)), np.float32)
+    rest = np.zeros(len(label))  # of hints that too few blocks have
+    x[:, :k] = own.reshape(-1, k)
+    for i, signs in enumerate(zip(tags, hints, strict=True)):
+        for s in (*signs[0], *signs[1]):
+            if s in place:
+                x[i, k + place[s]] = 1
+            else:
+                rest[i] += prior(s)
+    hidden = x.copy()  # the same blocks without their elements
+    for s in names:
+        if s[0] in "gat":
+            hidden[:, k + place[s]] = 0
+    w = start.copy()
+    for turn in range(turns):
+        y = label.astype(float)
+        if turn:
+            z = x @ w + rest
+            y = np.where((y < 0) & (z > 3), 1.0, np.where((y < 0) & (z < -3), 0.0, y))
+        at = np.flatnonzero(y >= 0)
+        y = y[at]
+        if not 0 < y.sum() < len(y):
+            break
+        weight = np.where(y > 0, 0.25 / y.sum(), 0.25 / (len(y) - y.sum()))
         for _ in range(steps):
-            w = w + rate * (x.T @ (weight * (y - 1 / (1 + np.exp(-x @ w)))) - ridge * w)
-    return w
+            slope = sum(v.T @ (weight * (y - 1 / (1 + np.exp(-np.clip(v @ w + rest[at], -30, 30))))) for v in (x[at], hidden[at]))
+            w = w + rate * (slope - ridge * (w - start))
+    return Costs(w[:k], dict(zip(names, w[k:].tolist(), strict=True)), edges)
 
 
-def train(pages: DataFrame, most: int = MAX_TRAIN) -> np.ndarray:
-    """Fit on the blocks of at most so many pages (the first by hash of page_id; 50 blocks of each) whose elements tell
-    content from boilerplate: inside article or main, or inside nav, footer, aside or form."""
-    chosen = pages.select("page_id").dropna().distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
+def train(pages: DataFrame, most: int = MAX_TRAIN) -> Costs:
+    """Fit on at most so many pages, the first by hash, and MAX_BLOCKS blocks of each, by hash of their text."""
+    mark = F.xxhash64("html")
+    ids = pages.select("page_id", mark.alias("mark")).dropna().distinct().orderBy(F.xxhash64("page_id", "mark"), "page_id", "mark").limit(most)
+    chosen = ids.select(F.col("page_id").alias("\x01id"), F.col("mark").alias("\x01mark"))
 
     def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[float(v) for v in b.features()] + [float(b.good)] for p in batch.column(0).to_pylist() for b in blocks(p or "")[:50] if b.good != b.bad and not b.hint and not b.never]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["z"])
-
-    # the broadcast side has at most `most` ids; at most 50 short rows by page come back
-    got = sorted(tuple(r["z"]) for r in pages.join(F.broadcast(chosen), "page_id", "left_semi").select("html").mapInArrow(told, "z array<double>").collect())
-    z = np.array(got).reshape(-1, 8)
-    return fit(z[:, :7], z[:, 7])
+            rows = []
+            for p in batch.column(0).to_pylist():
+                found = [b for b in blocks(p or "") if not b.never]
+                agree = [0.0] * 4
+                for a, b in zip(found, found[1:], strict=False):
+                    if a.label >= 0 and b.label >= 0:
+                        agree[2 * (a.parent == b.parent) + (a.label != b.label)] += 1
+                rows.append((agree, [], [], -2))
+                rows += [(b.own, b.tags, b.hints, b.label) for b in sorted(found, key=lambda b: (zlib.crc32(b.text.encode("utf-8", "surrogatepass")), b.text))[:MAX_BLOCKS]]
+            names = pa.list_(pa.string())
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.list_(pa.float64()), names, names, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["own", "tags", "hints", "label"])
+
+    # the broadcast side has at most `most` rows of two numbers; rows that repeat a page count once, so at most MAX_BLOCKS + 1 rows by page come back
+    rows = pages.select("page_id", "html").join(F.broadcast(chosen), (F.col("page_id") == F.col("\x01id")) & (mark == F.col("\x01mark")), "left_semi")
+    rows = rows.select("html").mapInArrow(told, "own array<double>, tags array<string>, hints array<string>, label int").distinct()
+    got = sorted((tuple(r["own"]), tuple(r["tags"]), tuple(r["hints"]), r["label"]) for r in rows.collect())
+    agree = np.array([r[0] for r in got if r[3] == -2]).reshape(-1, 2, 2).sum(0)
+    got = [r for r in got if r[3] > -2]
+    return fit(np.array([r[0] for r in got]), [list(r[1]) for r in got], [list(r[2]) for r in got], np.array([r[3] for r in got], int), agree)
 
 
 def extract(pages: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
