@@ -1,8 +1,8 @@
 """WARC archives with content-addressed payloads.
 
 Writing: of records with equal payloads (of at least a given size) one holds the payload and the others are revisits of
-it.  Reading: records are parsed by their declared lengths, a payload's digests are computed anew and compared, payloads
-are kept once by SHA-256 and exact headers beside them; joins put the original records together again.
+it.  Reading: records are parsed by their declared lengths and a payload's digests are computed anew and compared.  An archive
+is two tables: payloads, each kept once by SHA-256, and the exact headers of each record; joins put the records together.
 """
 
 from __future__ import annotations
@@ -13,22 +13,26 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, small, tidy
+from .common import materialize, release, scratch, small, tidy
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_BYTES = 1000
-#: Records in one file at most; a file is parsed in one piece.
-FILE_RECORDS = 4000
+#: A file is parsed in one piece, so it has at most 64 MB, or one record: records up to so many bytes go so many to a file.
+FILES = ((1 << 14, 4000), (1 << 20, 64), (1 << 63, 1))
+#: Broadcast a list of digests up to so many rows (under 50 MB), else shuffle.
 BROADCAST_ROWS = 500_000
+#: A payload of more records than this is dealt to several tasks.
+HOT_PAYLOAD = 256
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, refers_to long, warc_header string, http_header string, sha1 string, sha256 string, payload string"
 
 
 def records(pages: DataFrame, least: int = LEAST_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """record: the whole WARC record of each row of pages (page_id, url, html) but for the two line ends after it."""
+    """record: the whole WARC record of each row of pages (page_id, url, html) but for the two line ends after it; and bytes,
+    how many it has."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumns({"size": F.octet_length("payload"), "sha1": F.sha1("payload"), "sha256": F.sha2("payload", 256)})
     same = ["sha256", "sha1", "size"]
@@ -52,12 +56,22 @@ def records(pages: DataFrame, least: int = LEAST_BYTES, date: str = "1970-01-01T
         line("Content-Length", (F.octet_length(http) + F.octet_length(body)).cast("string")),
         F.lit("\r\n"),
     )
-    return p.select(F.concat(head, http, body).alias("record"))
+    return p.select(F.concat(head, http, body).alias("record")).withColumn("bytes", F.octet_length("record").cast("long"))
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
-    """Write gzip-compressed WARC files to a folder: the text writer with two line ends after each record."""
-    records(pages, least).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write(pages: DataFrame, path: str, least: int = LEAST_BYTES, files: tuple[tuple[int, int], ...] = FILES) -> None:
+    """Write gzip-compressed WARC files to a folder: the text writer with two line ends after each record.  Records are
+    written by size, each size in one pass over those that there are."""
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    bound = (pages.agg(F.max(size("html") + 3 * size("url"))).first()[0] or 0) + 2048
+    out, low = records(pages, least), -1
+    for most, count in files:
+        last = bound <= most or most == files[-1][0]
+        some = out.filter(F.col("bytes") > low) if low >= 0 else out
+        (some if last else some.filter(F.col("bytes") <= most)).select("record").write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", count).text(path)
+        if last:
+            return
+        low = most
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -100,23 +114,47 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(tidy(parsed), RECORD)
 
 
-def restore(archive: DataFrame) -> DataFrame:
-    """The archive's records (a written table of RECORD) with every payload in place: a revisit gets that of its digest.
-    Only payloads that are revisited move."""
-    revisits = archive.filter("record_type = 'revisit'").drop("payload")
-    wanted = materialize(revisits.select("sha256").distinct(), "revisited")
-    responses = archive.filter("record_type = 'response'")
-    store = responses.join(small(wanted, BROADCAST_ROWS), "sha256", "left_semi").select("sha256", "page_id", "payload")
-    store = materialize(store.groupBy("sha256").agg(F.max_by("payload", F.coalesce("page_id", F.lit(-(2**63)))).alias("payload")), "payloads")
-    return responses.unionByName(revisits.join(store, "sha256"))
+def store(archive: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two tables of an archive (a written table of RECORD): headers of all records, without payloads; and sha256,
+    payload, each payload once.  Only the digests of payloads that came more than once are looked at together."""
+    headers = materialize(archive.drop("payload").withColumn("record", F.monotonically_increasing_id()), "headers")
+    whole = archive.filter("record_type = 'response'").select("sha256", "payload", F.coalesce("page_id", F.lit(-(2**63))).alias("id"))
+    twice = headers.filter("record_type = 'response'").groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha256")
+    twice = materialize(twice, "repeated-payloads")
+    if twice.isEmpty():
+        return headers, materialize(whole.select("sha256", "payload"), "payloads")
+    repeated = small(twice, BROADCAST_ROWS)
+    one = whole.join(repeated, "sha256", "left_semi").groupBy("sha256").agg(F.max_by("payload", "id").alias("payload"))
+    return headers, materialize(whole.join(repeated, "sha256", "left_anti").select("sha256", "payload").unionByName(one), "payloads")
+
+
+def restore(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """All records with their payloads, each joined by its digest; a revisit gets that of the record it refers to."""
+    hot = materialize(headers.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_PAYLOAD).select("sha256", F.ceil(F.col("n") / HOT_PAYLOAD).cast("int").alias("salts")), "hot-payloads")
+    if hot.isEmpty():
+        return headers.drop("record").join(payloads, "sha256")
+    hot, salts = small(hot, BROADCAST_ROWS), F.coalesce("salts", F.lit(1))
+    dealt = headers.join(hot, "sha256", "left").withColumn("salt", F.pmod(F.xxhash64("record"), salts).cast("int")).drop("salts", "record")
+    copies = payloads.join(hot, "sha256", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copies, ["sha256", "salt"]).drop("salt")
+
+
+def record_text() -> Column:
+    """The record of a restored row as it was written, but for the two line ends after it."""
+    end = F.lit("\r\n\r\n")
+    return F.concat("warc_header", end, "http_header", end, F.when(F.col("record_type") == "revisit", "").otherwise(F.col("payload")))
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Write pages to WARC files in the shared folder, read them back and restore all records.
 
     Null html is an empty payload, a null url has no header line.  Equal payloads of at least `least` bytes are held by the
-    largest page_id; rows that repeat that page_id all hold it, and so do rows whose page_ids are all null."""
+    largest page_id; rows that repeat that page_id all hold it, and so do rows whose page_ids are all null.  Each payload is
+    in the store once, whether its records are revisits or not."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/sluiceway/warc-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, least)
-    return restore(materialize(read(spark, path), "archive"))
+    archive = materialize(read(spark, path), "archive")
+    headers, payloads = store(archive)
+    release(archive)
+    return restore(headers, payloads)

@@ -34,6 +34,28 @@ def test_round_trip(spark, monkeypatch, broadcast):
     assert by[8][0].url == "a%0D%0Ab" and by[6][0].url is None and by[7][0].url == "u: v"
 
 
+@pytest.mark.parametrize("hot", [1, 256])
+def test_restored_records_equal_the_written_bytes(spark, monkeypatch, hot):
+    """Whatever the sizes of files and however hot a payload; each payload is in the store once."""
+    monkeypatch.setattr(A, "HOT_PAYLOAD", hot)
+    path = A.scratch(spark) + f"/test-{hot}"
+    docs = pages(spark, ROWS)
+    A.write(docs, path, least=20, files=((600, 2), (2000, 1), (1 << 63, 1)))
+    headers, payloads = A.store(A.materialize(A.read(spark, path), "archive"))
+    assert "payload" not in headers.columns and headers.count() == len(ROWS)
+    kept = [r.payload for r in payloads.collect()]
+    assert sorted(kept) == sorted({h or "" for _, _, h in ROWS})
+    got = sorted(r[0] for r in A.restore(headers, payloads).select(A.record_text()).collect())
+    assert got == sorted(r.record for r in A.records(docs, least=20).collect()) and len(got) == len(ROWS)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", "x" * (100 if i % 4 else 5000) + str(i)) for i in range(40)]
+    A.write(spark.createDataFrame([("c", *r) for r in rows], SCHEMA).coalesce(1), str(tmp_path / "w"), files=((2000, 7), (1 << 63, 1)))
+    sizes = [[len(r[8]) for r in A.parse(gzip.open(x).read())] for x in glob.glob(str(tmp_path / "w/*.gz"))]
+    assert sum(map(len, sizes)) == 40 and all(len(s) <= (7 if max(s, default=0) < 2000 else 1) for s in sizes)
+
+
 def test_files_are_warc(spark, tmp_path):
     A.write(pages(spark, ROWS), str(tmp_path / "w"), least=20)
     n = 0
