@@ -97,27 +97,28 @@ class Packer:
         self.open: list[list] = []  # [tokens, pieces]
 
     def add(self, doc_id, start: int, ids: bytes, doc_tokens: int) -> None:
-        while n := len(ids) // 4:
+        at = 0  # bytes of ids that have their place
+        while n := (len(ids) - at) // 4:
             room = [(self.capacity - w[0], i) for i, w in enumerate(self.open) if self.capacity - w[0] >= n]
             if n >= self.capacity:  # a window of its own
-                at, take = -1, self.capacity
+                k, take = -1, self.capacity
             elif room:
-                at, take = min(room)[1], n
+                k, take = min(room)[1], n
             elif len(self.open) < self.windows:
-                at, take = -1, n
+                k, take = -1, n
             else:
-                at = max(range(len(self.open)), key=lambda i: self.open[i][0])
-                take = self.capacity - self.open[at][0]
-            if at < 0:
+                k = max(range(len(self.open)), key=lambda i: self.open[i][0])
+                take = self.capacity - self.open[k][0]
+            if k < 0:
                 self.open.append([0, []])
-                at = len(self.open) - 1
-            w = self.open[at]
+                k = len(self.open) - 1
+            w = self.open[k]
             w[0] += take
-            w[1].append((doc_id, start, ids[: 4 * take], doc_tokens))
+            w[1].append((doc_id, start + at // 4, ids[at : at + 4 * take], doc_tokens))
             if w[0] == self.capacity:
                 self.emit(w[1])
-                del self.open[at]
-            ids, start = ids[4 * take :], start + take
+                del self.open[k]
+            at += 4 * take
 
     def merge(self) -> None:
         """Pour the emptiest open window into the fullest until one is left, and emit that."""
@@ -125,14 +126,15 @@ class Packer:
             self.open.sort(key=lambda w: w[0])
             least = self.open.pop(0)
             for doc_id, start, ids, total in least[1]:
-                while ids:
+                at = 0
+                while n := (len(ids) - at) // 4:
                     if not self.open:
                         self.open.append([0, []])
                     w = self.open[-1]
-                    take = min(len(ids) // 4, self.capacity - w[0])
+                    take = min(n, self.capacity - w[0])
                     w[0] += take
-                    w[1].append((doc_id, start, ids[: 4 * take], total))
-                    ids, start = ids[4 * take :], start + take
+                    w[1].append((doc_id, start + at // 4, ids[at : at + 4 * take], total))
+                    at += 4 * take
                     if w[0] == self.capacity:
                         self.emit(self.open.pop()[1])
         for w in self.open:
