@@ -144,8 +144,9 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, pair_ro
 
 
 def in_training(doc_id: str) -> Column:
-    """Whether a labelled row may be learned from: crc32 of the id as text, mod 3, is not 1."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
+    """Whether a labelled row may be learned from: crc32 of the id as text, mod 3, is not 1.  A null id has no such number;
+    it has no label either, and isn't held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1, F.lit(True))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Gam:
@@ -163,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Gam:
 
     # the broadcast side has at most `most` rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(extract, "doc_id long, y int, x array<double>")
-    got = sorted((r["doc_id"], r["y"], tuple(r["x"])) for r in rows.collect())
+    # rows that repeat a doc_id count too, but no more than `most` in all
+    got = sorted((r["doc_id"], r["y"], tuple(r["x"])) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(most).collect())
     return fit(np.array([r[2] for r in got]), np.array([float(r[1] > 0) for r in got]))
 
 
@@ -176,7 +178,8 @@ def _parts(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 def score(docs: DataFrame, model: Gam) -> DataFrame:
     """doc_id, score for every row of docs (doc_id, text; other columns are ignored).  Null texts count as empty, which
-    has a score too."""
+    has a score too; texts of any length are read whole.  Rows are scored one by one, so those that repeat a doc_id or a
+    text, or have a null doc_id, each have a score, the same for the same text; an empty table has none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +191,8 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is at least so high, with all their columns, in one pass."""
+    """The rows of docs whose score is at least so high, with all their columns (whatever their names), in one pass.  Each
+    row is decided on by its own text, null counting as empty; doc_ids, also null or repeated ones, play no part."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 
