@@ -31,15 +31,22 @@ def test_decisions(frame, words):
 
 @pytest.mark.parametrize("least, most", [(1, 4), (5, 9), (16, 64)])
 def test_chunks_are_the_text_and_follow_content(spark, words, least, most):
-    texts = ["", "a", "a. b. c! d?\ne", words(50), "x" * 200, ". " * 40]
+    texts = ["", "a", "a. b. c! d?\ne", words(50), "x" * 200, ". " * 40, "é亜\u0434" * 70, "\0\x7f\x80ÿ\n" * 20]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for t, c in df.select("t", E.chunks(F.col("t"), least, most)).collect():
-        assert "".join(c) == t and all(len(x) <= most for x in c)
+        assert "".join(c).encode("latin-1").decode() == t and all(len(x) <= most for x in c)
     shifted = "".join(chr(97 + int(c, 16)) if c not in " w" else c for c in words(2000)).replace("w", "").replace("k", "s")
     a, b = (spark.createDataFrame([(t,)], "t string").select(E.chunks(F.col("t"), 20, 4000)).first()[0] for t in (shifted, "new start. " + shifted))
     assert len(a) > 20 and len(set(a) & set(b)) > 0.8 * len(a)  # cuts meet again after an insertion
 
 
+@pytest.mark.parametrize("first, last", [(0x4E00, 0x9FA5), (0x430, 0x44F), (0xAC00, 0xD7A3), (0x621, 0x64A)])
+def test_cuts_follow_content_in_scripts_without_spaces(spark, words, first, last):
+    text = "".join(chr(first + int(c, 16) * int(d, 16) * 7919 % (last - first)) for w in words(4000).split() for c, d in zip(w[1:], w[2:]))
+    a, b = (spark.createDataFrame([(t,)], "t string").select(E.chunks(F.col("t"))).first()[0] for t in (text, text[1500:1700] + text))
+    assert len(a) > 10 and len(set(a) & set(b)) > 0.7 * len(a)
+
+
 def test_small_chunks_give_the_same_groups(frame, words):
     rows = [(i, words(30, i % 4).replace(" ", ". ")) for i in range(20)] + [(50, "a. b. "), (51, "b. a. ")]
     a, b = (sorted(map(tuple, E.exact_dedup(frame(rows), *size).collect())) for size in ((3, 12), (1024, 4096)))
