@@ -15,8 +15,9 @@ from pyspark.sql.window import Window, WindowSpec
 from .common import SPACES, ascii_lower, let
 
 WORDS, K = 5, 128
-#: Rows by id range: the range count is bounded too, as its borders are a literal of the plan.
-RANGE_ROWS, MAX_RANGES = 1024, 4096
+#: Rows by id range.  Beyond so many ranges, whose borders are a literal of the plan, ranges grow with the rows: at 50 billion
+#: rows they have some 800 000 each, which a task sorts on its disk.
+RANGE_ROWS, MAX_RANGES = 1024, 1 << 16
 LOWEST = -(2**63)
 
 
@@ -69,41 +70,51 @@ def to_text(s: Column) -> Column:
 def in_ranges(docs: DataFrame, range_rows: int = RANGE_ROWS, max_ranges: int = MAX_RANGES) -> tuple[DataFrame, WindowSpec]:
     """doc_id, text, copy, and the window in which lead() of a row is the row after it by ascending doc_id; after the
     last comes the first.  Null texts are empty, a null doc_id comes first, rows with equal doc_id follow each other by
-    text.  Rows with copy set are there only to follow others: drop them after the last lead().
+    a hash of their text, then by text.  Rows with copy set are there only to follow others: drop them after the last lead().
 
     Each row is dealt once to the range of its doc_id; a range also gets copies of the first rows of the range after
-    it, so that a window inside the range finds every successor and no row passes through a single task.
+    it, so that a window inside the range finds every successor and no row passes through a single task.  A doc_id that
+    fills several ranges is split over them by the hash of its texts.
     """
     k = F.coalesce(F.col("doc_id"), F.lit(LOWEST))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), k.alias("k"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), k.alias("k"), F.xxhash64(text).alias("h"))
     parts = max(1, min(max_ranges, math.ceil(rows.count() / range_rows)))
     at = [i / parts for i in range(1, parts)]
-    borders = sorted(set(rows.agg(F.percentile_approx("k", F.lit(at), F.lit(20 * parts)).alias("b")).first()["b"])) if at else []
+    borders = sorted(rows.agg(F.percentile_approx("k", F.lit(at), F.lit(20 * parts)).alias("b")).first()["b"]) if at else []
     side = max(1, math.ceil(math.sqrt(len(borders) + 1)))
     blocks = [borders[i : i + side] for i in range(0, len(borders), side)]
 
-    def place(x: Column) -> Column:
-        """How many borders are at most x: first by block, then inside the block."""
-        if not borders:
-            return F.lit(0)
+    def below(x: Column, same: bool) -> Column:
+        """How many borders are less than x (same: or equal): first by block, then inside the block."""
         heads, inner = F.lit([b[0] for b in blocks]), F.array(*[F.lit(b) for b in blocks])
-        count = lambda values: F.aggregate(values, F.lit(0), lambda s, b: s + F.when(b <= x, 1).otherwise(0))
+        count = lambda values: F.aggregate(values, F.lit(0), lambda s, b: s + F.when(b <= x if same else b < x, 1).otherwise(0))
         return let(count(heads), lambda j: F.when(j == 0, 0).otherwise((j - 1) * side + count(F.get(inner, j - 1))))
 
-    rows = rows.withColumn("range", place(F.col("k")))
+    def place(x: Column, h: Column) -> Column:
+        """The range: after all borders up to x, or where several borders are x one of those that it fills."""
+        if not borders:
+            return F.lit(0)
+        if len(set(borders)) == len(borders):
+            return below(x, True)
+        part = lambda n: F.least(F.floor((h / 2.0**64 + 0.5) * n).cast("int"), n - 1)
+        return let(F.struct(below(x, False).alias("a"), below(x, True).alias("b")), lambda p: F.when(p["b"] - p["a"] < 2, p["b"]).otherwise(p["a"] + 1 + part(p["b"] - p["a"])))
+
+    rows = rows.withColumn("range", place(F.col("k"), F.col("h")))
     # one row by range: the lowest id in it, so at most max_ranges rows come to the driver
-    firsts = sorted((r["range"], r["k"]) for r in rows.groupBy("range").agg(F.min("k").alias("k")).collect()) or [(0, LOWEST)]
+    firsts = sorted((r["range"], (r["m"]["k"], r["m"]["h"])) for r in rows.groupBy("range").agg(F.min(F.struct("k", "h")).alias("m")).collect()) or [(0, (LOWEST, LOWEST))]
     order = [r for r, _ in firsts]
     first = dict(firsts)
     size = order[-1] + 1
-    lows = F.lit([first.get(r, LOWEST) for r in range(size)])
+    low_k, low_h = (F.lit([first.get(r, (LOWEST, LOWEST))[i] for r in range(size)]) for i in range(2))
     before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
     prev = F.lit([before.get(r, 0) for r in range(size)])
     here, r = F.struct(F.col("range").alias("range"), F.lit(0).alias("lap"), F.lit(False).alias("copy")), F.col("range")
     copy = F.struct(F.get(prev, r).alias("range"), F.when(r == order[0], 1).otherwise(0).alias("lap"), F.lit(True).alias("copy"))
-    dealt = rows.withColumn("to", F.explode(F.when(F.col("k") == F.get(lows, r), F.array(here, copy)).otherwise(F.array(here))))
-    dealt = dealt.select("doc_id", "text", "k", F.col("to.range").alias("range"), F.col("to.lap").alias("lap"), F.col("to.copy").alias("copy"))
-    return dealt, Window.partitionBy("range").orderBy("lap", "k", "text", "copy")
+    lowest = (F.col("k") == F.get(low_k, r)) & (F.col("h") == F.get(low_h, r))
+    dealt = rows.withColumn("to", F.explode(F.when(lowest, F.array(here, copy)).otherwise(F.array(here))))
+    dealt = dealt.select("doc_id", "text", "k", "h", F.col("to.range").alias("range"), F.col("to.lap").alias("lap"), F.col("to.copy").alias("copy"))
+    return dealt, Window.partitionBy("range").orderBy("lap", "k", "h", "text", "copy")
 
 
 def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS, **ranges) -> DataFrame:

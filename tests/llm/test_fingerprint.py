@@ -16,9 +16,11 @@ def pair(spark, a, b):
 
 
 @pytest.mark.parametrize("range_rows", [1, 3, 1000])
-def test_next_document(frame, words, range_rows):
+def test_next_document(spark, frame, words, range_rows):
     rows = [(i * i - 50, words(i, i)) for i in range(25)] + [(3, None), (5, "é" * 7), (5, "a"), (None, "first"), (2**62, "last one")]
-    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], r[1] or ""))
+    rows += [(77, words(3, i % 15)) for i in range(30)] + [(None, words(2, i)) for i in range(9)]
+    h = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], h[r[1] or ""], r[1] or ""))
     want = []
     for i, (d, t) in enumerate(order):
         t, after = t or "", order[(i + 1) % len(order)][1] or ""
@@ -44,6 +46,21 @@ def test_estimates_are_exact_for_small_sets_and_near_for_large(spark, words):
     assert abs(got[0] - len(s & t) / len(s | t)) < 0.12 and abs(got[1] - len(s & t) / len(s)) < 0.2 and abs(got[2] / len(s) - 1) < 0.3
 
 
+def test_sketches_against_brute_force(spark, words):
+    """The k least of the distinct hashes of the shingles, each hash taken from Spark word by word."""
+    for text in (words(400), "A b  a B " * 30, "x", "", "é\ttwo\nthree four five six", words(5)):
+        w = text.translate(LOW).replace("\t", " ").replace("\n", " ").split()
+        table = spark.createDataFrame([(x,) for x in set(w)], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+        h = {r.w: r.h for r in table}
+        runs = {tuple(h[x] for x in s) for s in shingles(text, 5)}
+        if 0 < len(w) < 5:
+            want = [spark.sql(f"select xxhash64({len(w)}, array({', '.join(f'{x}L' for x in next(iter(runs)))}))").first()[0]]
+        else:
+            want = sorted(r[0] for r in spark.createDataFrame(list(runs), "a long, b long, c long, d long, e long").select(F.xxhash64(*"abcde")).collect()) if runs else []
+        got = spark.createDataFrame([(text,)], "t string").select(P.sketch(F.col("t"), 16)).first()[0]
+        assert got == want[:16]
+
+
 def test_parts_merge_into_the_whole(spark, words):
     a = words(400)
     w = a.split()
