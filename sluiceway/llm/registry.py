@@ -33,8 +33,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled segmentations: their length, a checksum of the ids, and whether the ids decode to the text."""
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents")
-    out = subword.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=17, dropout=0.1, source=True)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = subword.decode(subword.encode(table(spark, sf_dir, "documents"), model, seed=17, dropout=0.1, source=True), model)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

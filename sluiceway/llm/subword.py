@@ -18,6 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import tidy
@@ -68,6 +69,21 @@ class Vocabulary:
         """The text whose encoding the ids are: their bytes without the space put before a text."""
         return b"".join([self.bytes[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
+    def texts(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids, all at once; null for null."""
+        if not hasattr(self, "flat"):
+            self.sizes = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+            self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.bytes), np.uint8)
+        which, ends = ids.flatten().to_numpy(), np.append(0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy()))
+        sizes = self.sizes[which]
+        data = self.flat[_ranges(self.starts[which], sizes)]
+        cuts = np.append(0, np.cumsum(sizes))[ends]
+        keep = np.ones(len(data), bool)
+        keep[cuts[:-1][np.diff(cuts) > 0]] = False  # the space put before a text
+        cuts = cuts - np.append(0, np.cumsum(np.diff(cuts) > 0))
+        out = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data[keep])]).cast(pa.large_string()).cast(pa.string())
+        return pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), out)
+
 
 PARTS = re.compile(f"{MARK}*[^{MARK}\n]+\n?|{MARK}+\n?|\n")
 
@@ -332,8 +348,8 @@ class Encoder:
 
 
 def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, source: bool = False) -> DataFrame:
-    """doc_id, ids, text for every row of docs (doc_id, text; other columns are ignored): the token ids, and the text that
-    they decode to; with source also the text that went in.  model: the path of a merge-type model, read on the driver.
+    """doc_id, ids for every row of docs (doc_id, text; other columns are ignored): the token ids; with source also the text
+    that went in.  model: the path of a merge-type model, read on the driver.
 
     The same seed, doc_id and text always give the same ids; dropout 0 gives the model's own.  A null or empty text has no
     ids; rows that repeat a doc_id are encoded alike, a null doc_id counts as 0."""
@@ -346,8 +362,24 @@ def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, sou
                 part = batch.slice(i, 256)
                 found = [np.frombuffer(b, "<u4") for b in encoder.encode(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
-                back = [shared.value.decode(f.tolist()) for f in found]
-                names = ["doc_id", "ids", "text"] + ["source"] * source
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(back, pa.string()), part.column(1)][: len(names)], names=names)
+                names = ["doc_id", "ids"] + ["source"] * source
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, part.column(1)][: len(names)], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(encoded), "doc_id long, ids array<int>" + ", source string" * source)
+
+
+def decode(tokens: DataFrame, model: str, ids: str = "ids", to: str = "text") -> DataFrame:
+    """The rows of tokens with the text of their ids in a column more, or in place of one of that name.  Null ids give a null
+    text, no ids an empty one; the ids need not come from encode, but an id that the model doesn't have is an error, and so
+    are ids whose bytes aren't text."""
+    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    rest = [c for c in tokens.columns if c != to]
+    at, schema = rest.index(ids), tokens.select(*rest).schema.add(to, "string")
+
+    def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, shared.value.texts(part.column(at))], names=[*rest, to])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(encoded), "doc_id long, ids array<int>, text string" + ", source string" * source)
+    return tokens.select(*rest).mapInArrow(tidy(decoded), schema)

@@ -4,6 +4,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sluiceway.llm import subword as S
 
@@ -50,12 +51,44 @@ def test_both_agendas_agree(monkeypatch, words):
 
 def test_operator(frame):
     rows = [(1, "some  text\n"), (1, "some  text\n"), (2, None), (3, ""), (None, "▁ x"), (4, "a" * 3000), (5, "word " * 20_000)]
-    got = S.encode(frame(rows), PATH, seed=5, dropout=0.2).collect()
+    docs = frame(rows).withColumn("ids", F.lit("clash")).withColumn("source", F.lit("clash"))
+    got = S.decode(S.encode(docs, PATH, seed=5, dropout=0.2), PATH).collect()
     assert sorted((repr(r.doc_id), r.text) for r in got) == sorted((repr(d), t or "") for d, t in rows)
     twice = [r.ids for r in got if r.doc_id == 1]
     assert twice[0] == twice[1] and [r.ids for r in got if r.doc_id in (2, 3)] == [[], []]
-    assert S.encode(frame([]), PATH).collect() == []
-
+    assert S.encode(frame([]), PATH).collect() == [] and S.decode(S.encode(frame([]), PATH), PATH).collect() == []
+
+
+def test_decode_on_a_table(spark):
+    rows = [(1, OWN.encode("some text, é亜\n"), "old"), (2, [], "old"), (3, None, None), (4, OWN.encode("\U0001f600 x"), "old")]
+    got = S.decode(spark.createDataFrame(rows, "k int, pieces array<int>, text string"), PATH, "pieces")
+    assert got.columns == ["k", "pieces", "text"]
+    assert sorted((r.k, r.text) for r in got.collect()) == [(1, "some text, é亜\n"), (2, ""), (3, None), (4, "\U0001f600 x")]
+
+
+def brute_agenda(word, key, seed, dropout):
+    """Over again: of all neighbours that make a piece and weren't skipped the best, the first of equals; it is merged, or
+    skipped if its hash says so."""
+    pieces = [(i, c) for i, c in enumerate(word)]
+    skipped, score = set(), {OWN.id_to_piece(i): OWN.get_score(i) for i in range(OWN.get_piece_size()) if OWN.id_to_piece(i) in V.ids}
+    while True:
+        some = [(-score[a + b], i, a, b) for (i, a), (_, b) in zip(pieces, pieces[1:]) if a in V.ids and b in V.ids and a + b in score and (i, a, b) not in skipped]
+        if not some:
+            return [x for _, p in pieces for x in ([V.ids[p]] if p in V.ids else [V.byte_ids[b] for b in p.encode()])]
+        _, i, a, b = min(some)
+        one = lambda x: np.array([x], np.int64)
+        if S._skipped(S._keyed(seed, one(key)), S._try(one(i), one(V.ids[a]), one(V.ids[b])), dropout)[0]:
+            skipped.add((i, a, b))
+        else:
+            k = [p for p, _ in pieces].index(i)
+            pieces[k : k + 2] = [(i, a + b)]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 0.9])
+def test_dropout_against_a_brute_force_agenda(words, dropout):
+    w = [(x, k) for k, x in enumerate(["▁thoroughly", "▁the", "▁aaaaaaaa", "é亜▁the", "▁internationalization", "x"] * 8 + words(20).split())]
+    got = [np.frombuffer(b, "<u4").tolist() for b in S.encode_words(w, V, 3, dropout)]
+    assert got == [brute_agenda(x, k, 3, dropout) for x, k in w]
 
 @pytest.mark.parametrize("text, parts", [("", []), ("a b", ["▁a", "▁b"]), (" a  b\n\nc ", ["▁▁a", "▁▁b\n", "\n", "c", "▁"]), ("x▁y", ["▁x", "", "y"])])
 def test_parts(text, parts):
