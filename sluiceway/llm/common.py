@@ -67,11 +67,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, so a lost executor costs
-    only the tasks that it ran, and a second use doesn't compute it again."""
+    only the tasks that it ran, and a second use doesn't compute it again.  Tables of whole texts may take zstd."""
     at = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
     out.written_at = at
     return out

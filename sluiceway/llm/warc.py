@@ -122,10 +122,10 @@ def store(archive: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = headers.filter("record_type = 'response'").groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha256")
     twice = materialize(twice, "repeated-payloads")
     if twice.isEmpty():
-        return headers, materialize(whole.select("sha256", "payload"), "payloads")
+        return headers, materialize(whole.select("sha256", "payload"), "payloads", "zstd")
     repeated = small(twice, BROADCAST_ROWS)
     one = whole.join(repeated, "sha256", "left_semi").groupBy("sha256").agg(F.max_by("payload", "id").alias("payload"))
-    return headers, materialize(whole.join(repeated, "sha256", "left_anti").select("sha256", "payload").unionByName(one), "payloads")
+    return headers, materialize(whole.join(repeated, "sha256", "left_anti").select("sha256", "payload").unionByName(one), "payloads", "zstd")
 
 
 def restore(headers: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def round_trip(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     spark = pages.sparkSession
     path = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, least)
-    archive = materialize(read(spark, path), "archive")
+    archive = materialize(read(spark, path), "archive", "zstd")
     headers, payloads = store(archive)
     release(archive)
     return restore(headers, payloads)
