@@ -40,6 +40,7 @@ class Config:
     user: str = ""
     password: str = ""
     path: str = ""
+    files_per_trigger: int | None = None
     idle_sleep_ms: int = 100
     lag_interval_ms: int = 10_000
     max_idle_ms: int = 600_000
@@ -80,18 +81,21 @@ class Config:
         return {k: v for k, v in d.items() if not any(s in k for s in SECRET) and k not in ("url", "user")}
 
 
-def build_source(spark: SparkSession, config: Config) -> DataFrame:
-    """The stream of events of a configuration: a row source with its mappings, or messages.  Raw records are read from a
-    folder of text files, the stand-in for a replication socket."""
+def build_source(spark: SparkSession, config: Config, catalog: DataFrame | None = None) -> DataFrame:
+    """The stream of events of a configuration: a row source with its mappings, or messages, or outbox rows.  Raw records are
+    read from a folder of text files, the stand-in for a replication socket.  catalog: the column names of binlog tables."""
+    from .operators import mapping
     from .streaming import pipelines
 
     if config.source in ("oracle", "sqlserver"):
         raise NotSupported(f"{config.source} is not supported")
     if config.source not in SOURCES:
         raise ValueError(f"no source {config.source!r}; there are {SOURCES}")
-    raw = pipelines.raw_records(spark, config.path)
+    if config.source == "outbox":
+        return pipelines.outbox_events(spark, config.path, config.files_per_trigger)
+    raw = pipelines.raw_records(spark, config.path, config.files_per_trigger)
     if config.source == "postgres_messages":
         return pipelines.message_events(raw, config.format_version)
-    if config.source == "postgres_rows":
-        return pipelines.row_events(raw, config.mappings, config.format_version)
-    raise NotSupported(f"{config.source} is read in batches: use operators.{config.source}")
+    if config.source == "binlog":
+        return mapping.apply(pipelines.binlog_changes(raw, catalog), config.mappings, "json")
+    return pipelines.row_events(raw, config.mappings, config.format_version)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.carry import BLOCK, carry_forward
+from ..functions.parse import with_parsed
 
 ROWS = {"WRITE_ROWS": "INSERT", "UPDATE_ROWS": "UPDATE", "DELETE_ROWS": "DELETE"}
 
@@ -64,7 +65,12 @@ def row_changes(events: DataFrame, catalog: DataFrame | None = None, block: int
 
     Rows of a table id that no TABLE_MAP announced are left out, as are control events.  Without a catalog entry the
     columns are called by number."""
-    e = with_table_map(with_file(events, block), block).filter(F.col("event_type").isin(*ROWS) & F.col("map").isNotNull())
+    return mapped_changes(with_table_map(with_file(events, block), block), catalog)
+
+
+def mapped_changes(events: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """The same from events that have their file and map already."""
+    e = events.filter(F.col("event_type").isin(*ROWS) & F.col("map").isNotNull())
     e = e.select("source", "event_type", F.concat_ws(":", "file", "next_position").alias("source_checkpoint"), F.timestamp_millis("ts_ms").alias("occurred_at"), F.col("map.db").alias("db"), F.col("map.table").alias("table"), "rows", F.col("seq").alias("log_seq"))
     if catalog is None:
         e = e.withColumn("names", F.lit(None).cast("array<string>"))
@@ -88,10 +94,15 @@ def ignored(events: DataFrame) -> DataFrame:
     return e.select(reason.alias("reason")).filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def parse(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Binlog events from JSON text, with error for those that can't be read; the others go on."""
+def parse(raw: DataFrame, column: str = "raw", keep: bool = False) -> DataFrame:
+    """Binlog events from JSON text, with error for those that can't be read; the others go on.  keep: with raw's columns."""
     from ..model import BINLOG
 
-    r = raw.withColumn("_r", F.from_json(column, BINLOG + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    r = with_parsed(raw, column, BINLOG + ", _bad string", "_r")
     bad = F.col("_r").isNull() | F.col("_r._bad").isNotNull() | F.col("_r.event_type").isNull()
-    return r.select(F.when(bad, "unreadable").alias("error"), "_r.*").drop("_bad")
+    return r.select(*(raw.columns if keep else []), F.when(bad, "unreadable").alias("error"), "_r.*").drop("_bad")
+
+
+def unreadable(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """How many events can't be read, by error; the stream goes on without them."""
+    return parse(raw, column).filter("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n"))

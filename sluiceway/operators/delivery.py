@@ -115,3 +115,21 @@ def dispatch(records: DataFrame) -> DataFrame:
 def high_water(acked: DataFrame, order: Column) -> DataFrame:
     """By checkpoint key the latest position done."""
     return acked.groupBy("key").agg(F.max_by("source_checkpoint", order).alias("source_checkpoint"))
+
+
+def advanced(records: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """By key the position that a log may be acknowledged up to: that of the last record published or discarded before the
+    first one that failed; null where the first record failed.  records: position, action, failed (of those to publish)."""
+    failed = F.coalesce((F.col("action") == "publish") & F.col("failed"), F.lit(False))
+    first = records.groupBy(*by).agg(F.min(F.when(failed, order)).alias("_first"))
+    met = records.withColumn("_order", order).join(first, by)
+    before = F.when(F.col("_first").isNull() | (F.col("_order") < F.col("_first")), F.col("_order"))
+    return met.groupBy(*by).agg(F.max_by("position", before).alias("position"), F.count_if(failed).alias("failures"))
+
+
+def fast_forward(slots: DataFrame, interval_ms: int = 300_000) -> DataFrame:
+    """slots (acked, current, ms_idle, pending: the failure of a record that waits, or null) with advance_to: the log's current
+    position where nothing came for so long and nothing waits, so that a slot without traffic doesn't hold the log back;
+    else what was acknowledged."""
+    idle = (F.col("ms_idle") >= interval_ms) & F.col("pending").isNull() & F.col("current").isNotNull()
+    return slots.withColumn("advance_to", F.when(F.coalesce(idle, F.lit(False)), F.col("current")).otherwise(F.col("acked")))

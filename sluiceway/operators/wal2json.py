@@ -11,17 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import positions
+from ..functions.parse import with_parsed
 from ..functions.snapshots import last_wins
 from ..model import WAL_COLUMN, WAL_V1, WAL_V2
 
-_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
 KINDS = {"I": "insert", "U": "update", "D": "delete"}
 
 
 def decode_v2(raw: DataFrame, column: str = "raw") -> DataFrame:
     """One record from each text.  Action M exactly is a message (always transactional) and needs prefix and content; I,
     U and D count in either case; any other action is kind other.  Without xid or action a record is an error."""
-    d = raw.withColumn("_r", F.from_json(column, WAL_V2, _OPTIONS))
+    d = with_parsed(raw, column, WAL_V2, "_r")
     r = F.col("_r")
     bad = r.isNull() | r["_bad"].isNotNull() | r["xid"].isNull() | r["action"].isNull()
     message = r["action"] == "M"
@@ -50,7 +50,7 @@ def zipped(names: Column, types: Column, values: Column) -> Column:
 def decode_v1(raw: DataFrame, column: str = "raw") -> DataFrame:
     """A record from each entry of a transaction's change list, in order, with the transaction's position.  Kinds are in
     lower case; a message without prefix, content or transactional has kind message and no content."""
-    d = raw.withColumn("_r", F.from_json(column, WAL_V1, _OPTIONS))
+    d = with_parsed(raw, column, WAL_V1, "_r")
     bad = F.col("_r").isNull() | F.col("_r._bad").isNotNull() | F.col("_r.xid").isNull() | F.col("_r.change").isNull()
     d = d.withColumn("_error", F.when(bad, "unreadable"))
     d = d.select("*", F.posexplode_outer(F.when(~bad, F.col("_r.change"))).alias("seq", "_c")).filter("_error is not null or _c is not null")

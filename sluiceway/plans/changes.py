@@ -275,6 +275,14 @@ def b12_ignored(spark, sf_dir):
     return binlog.ignored(binlog_events(spark, sf_dir))
 
 
+@query(f"select 'unreadable' as error, count(*) as n from ({D_BINLOG}) where k % 97 = 0 or k % 89 = 3")
+def b13_unreadable(spark, sf_dir):
+    """Events in JSON that can't be read, or have no type, are counted, and the others go on."""
+    e = binlog_events(spark, sf_dir).drop("rows")
+    text = F.to_json(F.struct(*[F.when(F.col("k") % 89 != 3, F.col(c)).alias(c) if c == "event_type" else F.col(c) for c in e.columns if c != "k"]))
+    return binlog.unreadable(e.select(F.when(F.col("k") % 97 == 0, F.substring(text, 1, 20)).otherwise(text).alias("raw")))
+
+
 @query(f"select seq, concat('a:b.', seq, ':', next_position) as text, concat('a:b.', seq) as file, next_position as pos, 'garbage' as bad, true as bad_is_null from ({D_BINLOG})")
 def b14_positions(spark, sf_dir):
     """file:position at the last colon."""

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import backoff, positions
+from ..functions.workers import importable
 from ..operators import deadletters, delivery, outbox, replay, sinks, wal2json
 from .catalogue import query
 from .changes import D_BINLOG, D_CHANGES, D_OUTBOX, D_SHAPES, ORDERS, _events, raw_v2
-from .fixtures import BINLOG_EVENTS, OUTBOX, in_spark
+from .fixtures import BINLOG_EVENTS, CHANGES, OUTBOX, in_spark
 
 SCHEMES = ["sns", "SQS", "kafka"]
 
@@ -255,6 +256,23 @@ def q05_bulk(spark, sf_dir):
     return deadletters.summary(e.select(deadletters.replay_outcome(n % 3 != 0, n % 13 != 0).alias("outcome")))
 
 
+def _down_for_some(event: dict) -> None:
+    """A sink that is down for payloads of certain lengths."""
+    if len(event["payload"].decode()) % 3 == 0:
+        raise TimeoutError("down")
+
+
+@query(f"""
+select n as receipt, 'kafka' as scheme, case when length(payload) % 3 = 0 then 'publish_failed' when n % 13 = 0 then 'success_delete_failed' else 'success' end as outcome,
+       case when length(payload) % 3 = 0 then 'TimeoutError' end as failure_type, case when length(payload) % 3 = 0 then 'down' end as failure_message
+from ({_DEAD}) where n % 7 <> 3""")
+def q04_replayed(spark, sf_dir):
+    """Letters published one by one, then deleted but for some: the three outcomes (Q4, Q5)."""
+    letters = deadletters.parsed(queue(importable(spark), sf_dir)).filter("valid")
+    sent = deadletters.publish(deadletters.rebuild(letters, F.current_timestamp(), ("kafka", "again")), sinks.SinkRegistry({"kafka": _down_for_some}))
+    return deadletters.replayed(sent, letters.filter("receipt % 13 <> 0").select("receipt"))
+
+
 @query(f"select n as receipt from ({_DEAD}) where n % 6 <> 0")
 def q06_abandoned(spark, sf_dir):
     q = queue(spark, sf_dir)
@@ -267,6 +285,25 @@ def q08_override(spark, sf_dir):
     return e.select("receipt", "scheme", "target")
 
 
+@query(f"""
+with r as (select cust, k, lsn, case when k % 97 = 5 then 'discard' else 'publish' end as action, k % 41 = 3 as failed from ({D_CHANGES})),
+f as (select cust, min(k) filter (action = 'publish' and failed) as first, count(*) filter (action = 'publish' and failed) as failures from r group by cust)
+select r.cust as slot, arg_max(lsn, k) filter (first is null or k < first) as position, any_value(failures) as failures from r join f on r.cust = f.cust group by r.cust""")
+def d19_advanced(spark, sf_dir):
+    """Positions up to the first failure: published and discarded records advance, failed ones never."""
+    c = in_spark(spark, sf_dir, CHANGES)
+    records = c.select(F.col("cust").alias("slot"), "k", F.col("lsn").alias("position"), F.when(F.col("k") % 97 == 5, "discard").otherwise("publish").alias("action"), (F.col("k") % 41 == 3).alias("failed"))
+    return delivery.advanced(records, ["slot"], F.col("k"))
+
+
+@query(f"select k, case when k % 600 >= 300 and k % 7 <> 2 then concat('0/', upper(to_hex(k * 128))) else lsn end as advance_to from ({D_CHANGES})")
+def d18_fast_forward(spark, sf_dir):
+    """Idle slots go on to the current position unless a record waits."""
+    c = in_spark(spark, sf_dir, CHANGES)
+    slots = c.select("k", F.col("lsn").alias("acked"), F.concat(F.lit("0/"), F.hex(F.col("k") * 128)).alias("current"), (F.col("k") % 600 * 1000).alias("ms_idle"), F.when(F.col("k") % 7 == 2, "timeout").alias("pending"))
+    return delivery.fast_forward(slots).select("k", "advance_to")
+
+
 @query(f"select n as id, 'sns' as scheme, cast(n as varchar) as target, concat('{{\"a\":', n, '}}') as body from ({_ROUTED})")
 def k12_legacy_bodies(spark, sf_dir):
     """Content parsed and written again."""

@@ -50,6 +50,14 @@ class Replayer(Protocol):
     def __call__(self, start: str, end: str) -> DataFrame: ...
 
 
+class LetterQueue(Protocol):
+    """A queue of dead letters: its messages (receipt, body, in_flight), and deleting some; delete returns those deleted."""
+
+    def messages(self) -> DataFrame: ...
+
+    def delete(self, receipts: DataFrame) -> DataFrame: ...
+
+
 class Serializer(Protocol):
     """A payload map as text."""
 

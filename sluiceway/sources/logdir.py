@@ -35,15 +35,28 @@ class _Stream(DataSourceStreamReader):
         self.path, self.most, self.at = path, most, None
 
     def initialOffset(self) -> dict:
+        """Asked of a new query only, which begins at the first segment."""
+        self.at = 0
         return {"next": 0}
 
+    def _acked(self) -> int:
+        """How far a former run of the query had acknowledged: at most one batch behind what it had read."""
+        try:
+            with open(os.path.join(self.path, "acked"), encoding="utf-8") as f:
+                return int(f.read())
+        except FileNotFoundError:
+            return 0
+
     def latestOffset(self) -> dict:
-        """At most so many segments more than last time: admission control."""
+        """At most so many segments more than last time, on the first start and after a restart too: admission control."""
         last = max(segments(self.path), default=-1) + 1
-        self.at = last if self.at is None or not self.most else min(last, self.at + self.most)
+        if self.at is None:
+            self.at = self._acked()
+        self.at = max(self.at, min(last, self.at + self.most) if self.most else last)
         return {"next": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[Segment]:
+        self.at = max(self.at or 0, end["next"])
         return [Segment(self.path, n) for n in segments(self.path) if start["next"] <= n < end["next"]]
 
     def read(self, partition: Segment):

@@ -49,7 +49,7 @@ def test_config(spark, tmp_path):
     for bad in ({"nothing": 1}, {"lag_interval_ms": 10}, {"retry": {"jitter": 2}}):
         with pytest.raises(ValueError):
             Config.from_dict(bad)
-    for source in ("oracle", "sqlserver", "binlog"):
+    for source in ("oracle", "sqlserver"):
         with pytest.raises(NotSupported):
             build_source(spark, Config(source=source, path=str(tmp_path)))
     with pytest.raises(ValueError):

@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.config import Config, build_source
 from sluiceway.functions.backoff import BackOff
-from sluiceway.operators import binlog
+from sluiceway.operators import binlog, mapping
 from sluiceway.operators.sinks import SinkRegistry
 from sluiceway.sources.logdir import LogFolder
 from sluiceway.streaming import pipelines
@@ -100,18 +101,110 @@ def test_stateful_drift_agrees_with_the_batch_form(spark, tmp_path):
     assert sorted(map(tuple, spark.table("drift").collect())) == sorted(map(tuple, batch.collect())) != []
 
 
+def sizes(q):
+    return [p.numInputRows for p in q.recentProgress if p.numInputRows]
+
+
 def test_log_folder_source(spark, tmp_path):
+    """No batch has more segments than allowed: on the first start with a backlog, later, and after a restart."""
     spark.dataSource.register(LogFolder)
     d = tmp_path / "log"
     d.mkdir()
-    for k in range(3):
+    for k in range(5):
         (d / f"{k}.log").write_text(f"a{k}\nb{k}\n")
-    assert spark.read.format("logfolder").load(str(d)).count() == 6
-    s = spark.readStream.format("logfolder").option("maxSegmentsPerTrigger", 1).load(str(d))
-    q = s.writeStream.format("memory").queryName("segments").option("checkpointLocation", str(tmp_path / "cp")).start()
+    assert spark.read.format("logfolder").load(str(d)).count() == 10
+    s = spark.readStream.format("logfolder").option("maxSegmentsPerTrigger", 2).load(str(d))
+    out = str(tmp_path / "out")
+    run = lambda: s.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = run()
     q.processAllAvailable()
-    (d / "3.log").write_text("a3\n")
+    assert sizes(q) == [4, 4, 2]
+    (d / "5.log").write_text("a5\n")
     q.processAllAvailable()
     q.stop()
-    assert sorted(r.raw for r in spark.table("segments").collect()) == ["a0", "a1", "a2", "a3", "b0", "b1", "b2"]
-    assert (d / "acked").exists()
+    assert sizes(q) == [4, 4, 2, 1] and (d / "acked").exists()
+    for k in range(6, 11):
+        (d / f"{k}.log").write_text(f"a{k}\n")
+    q = run()
+    q.processAllAvailable()
+    q.stop()
+    assert sum(sizes(q)) == 5 and max(sizes(q)) <= 2
+    want = [f"{x}{k}" for k in range(5) for x in "ab"] + [f"a{k}" for k in range(5, 11)]
+    assert sorted(r.raw for r in spark.read.parquet(out).collect()) == sorted(want)
+
+
+def test_a_new_query_begins_at_the_first_segment(tmp_path):
+    for k in range(4):
+        (tmp_path / f"{k}.log").write_text("x\n")
+    (tmp_path / "acked").write_text("3")
+    fresh = LogFolder({"path": str(tmp_path), "maxSegmentsPerTrigger": "1"}).streamReader(None)
+    assert fresh.initialOffset() == {"next": 0} and [fresh.latestOffset()["next"] for _ in range(6)] == [1, 2, 3, 4, 4, 4]
+    again = LogFolder({"path": str(tmp_path), "maxSegmentsPerTrigger": "1"}).streamReader(None)
+    assert again.latestOffset() == {"next": 4}
+
+
+def binlog_lines():
+    base = {"next_position": 100, "ts_ms": 1700000000000}
+    out, seq = [], {"s": 0, "t": 0}
+    for i in range(12):
+        source = "st"[i % 2]
+        events = [{"event_type": "QUERY"}, {"event_type": "WRITE_ROWS", "table_id": 1 + i % 3, "rows": [{"before": None, "after": [i, "x"]}, {"before": None, "after": [i + 100, None]}]}]
+        if i in (1, 2, 9):
+            events.insert(0, {"event_type": "ROTATE", "rotate_file": f"log.{i}"})
+        if i in (0, 1, 4, 5, 8):
+            events.insert(1, {"event_type": "TABLE_MAP", "table_id": 1 + i % 3, "db": "shop", "table": f"t{i}", "column_types": [3, 15]})
+        if i == 7:
+            events.append({"event_type": "DELETE_ROWS", "table_id": 1 + i % 3, "rows": [{"before": [i, "gone"], "after": None}]})
+        for e in events:
+            out.append(json.dumps(base | {"source": source, "seq": seq[source]} | e))
+            seq[source] += 1
+    return out + ["{torn"]
+
+
+def test_binlog_stream_gives_the_changes_of_the_batch_form(spark, tmp_path):
+    d, lines = tmp_path / "binlog", binlog_lines()
+    d.mkdir()
+    for k in range(0, len(lines), 7):  # an event and its map are often in different batches
+        (d / f"{k:03}.json").write_text("\n".join(lines[k : k + 7]))
+        os.utime(d / f"{k:03}.json", (1000 + k, 1000 + k))
+    names = spark.createDataFrame([("shop", "t4", "id", 1), ("shop", "t4", "name", 2)], "table_schema string, table_name string, column_name string, ordinal_position int")
+    told = lambda c: c.select("op", "table", "source_checkpoint", "seq", "occurred_at", F.to_json("before").alias("b"), F.to_json("after").alias("a"), "source", "log_seq")
+    q = told(pipelines.binlog_changes(pipelines.raw_records(spark, str(d), 1), names)).writeStream.format("memory").queryName("changes").trigger(availableNow=True).start()
+    q.awaitTermination()
+    batch = told(binlog.row_changes(binlog.parse(spark.createDataFrame([(x,) for x in lines], "raw string")).filter("error is null").drop("error"), names))
+    got = sorted(map(repr, spark.table("changes").collect()))
+    assert got == sorted(map(repr, batch.collect())) and len(got) > 10
+    config = {"source": "binlog", "path": str(d), "files_per_trigger": 2, "mappings": [{"table": "shop.t4", "key": {"columns": ["id"]}, "routing": {"sink": "sns://t"}}]}
+    rules = Config.from_dict(config).mappings
+    keys = mapping.apply(binlog.row_changes(binlog.parse(spark.createDataFrame([(x,) for x in lines], "raw string")).filter("error is null").drop("error"), names), rules)
+    q = build_source(spark, Config.from_dict(config), names).select("id").writeStream.format("memory").queryName("keys").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.id for r in spark.table("keys").collect()) == sorted(r.id for r in keys.collect()) != []
+
+
+def test_outbox_stream(spark, tmp_path):
+    d = tmp_path / "outbox"
+    d.mkdir()
+    (d / "1.json").write_text("\n".join(json.dumps({"id": i, "prefix": "sns://t", "payload": "{}", "created_at": "2024-01-01T00:00:00Z"} | ({"published_at": "2024-01-02T00:00:00Z"} if i == 2 else {})) for i in range(4)))
+    q = build_source(spark, Config.from_dict({"source": "outbox", "path": str(d)})).select("id", "scheme").writeStream.format("memory").queryName("outbox").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("outbox").collect())) == [("0", "sns"), ("1", "sns"), ("3", "sns")]
+
+
+def test_activity_knows_when_rows_came(spark, tmp_path):
+    activity = pipelines.Activity()
+    spark.streams.addListener(activity)
+    try:
+        (tmp_path / "raw").mkdir()
+        (tmp_path / "raw/1").write_text("x")
+        q = pipelines.raw_records(spark, str(tmp_path / "raw")).writeStream.format("memory").queryName("activity").start()
+        q.processAllAvailable()
+        for _ in range(50):
+            if activity.last:
+                break
+            time.sleep(0.1)
+        state = activity.state_of(q)
+        assert state["running"] and 0 <= state["ms_idle"] < 60_000
+        q.stop()
+    finally:
+        spark.streams.removeListener(activity)
