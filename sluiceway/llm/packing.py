@@ -167,9 +167,10 @@ class Rows:
         return out
 
 
-def pack(docs: DataFrame, spec: str, end_id: int = END_ID, capacity: int = CAPACITY, windows: int = OPEN, bundle: int = BUNDLE) -> DataFrame:
+def pack(docs: DataFrame, spec: str, end_id: int = END_ID, capacity: int = CAPACITY, windows: int = OPEN, bundle: int = BUNDLE, words: int = CACHE_WORDS) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, for docs (doc_id, text; other
-    columns are ignored).  spec: the tokenizer as JSON.
+    columns are ignored).  spec: the tokenizer as JSON.  words: how many words a
+    task remembers; fewer take less memory and more time, and change no result.
 
     Every row of docs is a document of its own, also if its doc_id repeats or is null; a null or empty text has the end
     id alone.  A text of any length is cut at full windows.  All sequences but one by bundle are full.
@@ -177,7 +178,7 @@ def pack(docs: DataFrame, spec: str, end_id: int = END_ID, capacity: int = CAPAC
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, rows = WordTokens(shared.value, end_id), Rows(TaskContext.get().partitionId() << 32, True)
+        tokens, rows = WordTokens(shared.value, end_id, words), Rows(TaskContext.get().partitionId() << 32, True)
         packer = Packer(rows.add, capacity, windows)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
