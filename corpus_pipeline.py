@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sluiceway.llm import exact_dedup, jaccard_join, packing, pii, quality
 from sluiceway.llm.common import materialize, prepare, release, table
 
+#: Words that a packing task remembers: the stages before leave it less memory than a query of its own has.
+CACHE_WORDS = 100_000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, fitted on labels, scores 0.5 or more.  Equal texts, also in rows that repeat a
@@ -47,7 +50,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     prepare(spark)
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        return packing.pack(docs, f.read())
+        return packing.pack(docs, f.read(), words=CACHE_WORDS)
 
 
 STAGES = [
