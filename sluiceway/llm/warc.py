@@ -22,6 +22,9 @@ from .common import materialize, release, scratch, small, tidy
 LEAST_BYTES = 1000
 #: A file is parsed in one piece, so it has at most 64 MB, or one record: records up to so many bytes go so many to a file.
 FILES = ((1 << 14, 4000), (1 << 20, 64), (1 << 63, 1))
+#: The lines of a record but for its address and its date take fewer bytes than this.
+HEAD_BYTES = 1000
+DATE = "1970-01-01T00:00:00Z"
 #: Broadcast a list of digests up to so many rows (under 50 MB), else shuffle.
 BROADCAST_ROWS = 500_000
 #: A payload of more records than this is dealt to several tasks.
@@ -30,12 +33,18 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, refers_to long, warc_header string, http_header string, sha1 string, sha256 string, payload string"
 
 
-def records(pages: DataFrame, least: int = LEAST_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """record: the whole WARC record of each row of pages (page_id, url, html) but for the two line ends after it; and bytes,
-    how many it has."""
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+def room(date: str = "") -> Column:
+    """An upper bound of the bytes of a page's record, from the lengths of its columns alone."""
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    return size("html") + 3 * size("url") + HEAD_BYTES + len(date)
+
+
+def records(pages: DataFrame, least: int = LEAST_BYTES, date: str = DATE) -> DataFrame:
+    """record: the whole WARC record of each row of pages (page_id, url, html) but for the two line ends after it; and room,
+    a number of bytes that it doesn't exceed, known without its digests."""
+    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), room(date).alias("room"))
     p = p.withColumns({"size": F.octet_length("payload"), "sha1": F.sha1("payload"), "sha256": F.sha2("payload", 256)})
-    same = ["sha256", "sha1", "size"]
+    same = ["sha256", "size"]
     held = p.filter(F.col("size") >= least).groupBy(*same).agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1 and holder is not null").drop("n")
     p = p.join(small(materialize(held, "holders"), BROADCAST_ROWS), same, "left")
     revisit = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
@@ -56,19 +65,18 @@ def records(pages: DataFrame, least: int = LEAST_BYTES, date: str = "1970-01-01T
         line("Content-Length", (F.octet_length(http) + F.octet_length(body)).cast("string")),
         F.lit("\r\n"),
     )
-    return p.select(F.concat(head, http, body).alias("record")).withColumn("bytes", F.octet_length("record").cast("long"))
+    return p.select(F.concat(head, http, body).alias("record"), "room")
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST_BYTES, files: tuple[tuple[int, int], ...] = FILES) -> None:
     """Write gzip-compressed WARC files to a folder: the text writer with two line ends after each record.  Records are
-    written by size, each size in one pass over those that there are."""
-    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
-    bound = (pages.agg(F.max(size("html") + 3 * size("url"))).first()[0] or 0) + 2048
+    written by size, each size in one pass over those that there are; only these are hashed in it."""
+    bound = pages.agg(F.max(room(DATE))).first()[0] or 0
     out, low = records(pages, least), -1
     for most, count in files:
         last = bound <= most or most == files[-1][0]
-        some = out.filter(F.col("bytes") > low) if low >= 0 else out
-        (some if last else some.filter(F.col("bytes") <= most)).select("record").write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", count).text(path)
+        some = out.filter(F.col("room") > low) if low >= 0 else out
+        (some if last else some.filter(F.col("room") <= most)).select("record").write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", count).text(path)
         if last:
             return
         low = most

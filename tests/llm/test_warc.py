@@ -56,6 +56,12 @@ def test_files_are_bounded_by_bytes(spark, tmp_path):
     assert sum(map(len, sizes)) == 40 and all(len(s) <= (7 if max(s, default=0) < 2000 else 1) for s in sizes)
 
 
+def test_the_bound_of_a_record_holds(spark):
+    docs = pages(spark, [*ROWS, (2**63 - 1, "\r" * 500, "é" * 50_000), (-(2**63), "é\n" * 500, "é" * 50_000)])
+    got = A.records(docs, least=20).selectExpr("octet_length(record) as n", "room").collect()
+    assert len(got) == len(ROWS) + 2 and all(r.n <= r.room for r in got)
+
+
 def test_files_are_warc(spark, tmp_path):
     A.write(pages(spark, ROWS), str(tmp_path / "w"), least=20)
     n = 0
