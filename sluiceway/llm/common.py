@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: An Arrow batch for a Python worker ends after so many bytes, where the session doesn't say less.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -60,7 +63,10 @@ def clear() -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this library even when the session was started from another folder."""
+    """Let Python workers import this library even when the session was started from another folder, and give them rows in
+    batches of few bytes (or one row), so that what a task holds doesn't follow the lengths of texts."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF, "1g")) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
