@@ -34,7 +34,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = subword.decode(subword.encode(table(spark, sf_dir, "documents"), model, seed=17, dropout=0.1, source=True), model)
+    out = subword.round_trip(table(spark, sf_dir, "documents"), model, seed=17, dropout=0.1)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

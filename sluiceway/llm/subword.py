@@ -32,6 +32,8 @@ LONG = 64
 CACHE_WORDS, CACHE_TRIES = 400_000, 8_000_000
 #: Occurrences decided on at once.
 PART = 1 << 16
+#: Rows that a worker encodes or decodes at once.
+ROWS = 1024
 
 
 class Vocabulary:
@@ -50,11 +52,42 @@ class Vocabulary:
         joined = sorted(
             ((self.ids[p[:k]] << 32 | self.ids[p[k:]], i, order[i]) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
         )
-        self.pair = np.array([j[0] for j in joined] or [-1], np.int64)
-        self.made = np.array([j[1] for j in joined] or [-1], np.int64)
-        self.score = np.array([j[2] for j in joined] or [-np.inf])
-        points = sorted((ord(p), i) for p, i in self.ids.items() if len(p) == 1)
-        self.points, self.point_ids = (np.array(x, np.int64) for x in zip(*points, strict=True))
+        # merges, and a last one that no pair has for empty slots of the table of hashes
+        self.pair = np.array([j[0] for j in joined] + [-1], np.int64)
+        self.made = np.array([j[1] for j in joined] + [-1], np.int64)
+        self.score = np.array([j[2] for j in joined] + [-np.inf])
+        self.bits = max(8, (8 * len(joined)).bit_length())
+        self.slots = np.full((1 << self.bits) + len(joined) + 1, len(joined), np.int32)
+        left = np.arange(len(joined))
+        slot = self._slot(self.pair[:-1])
+        while len(left):  # each merge to the first free slot from its own on
+            free = self.slots[slot] == len(joined)
+            _, first = np.unique(np.where(free, slot, -1), return_index=True)
+            first = first[free[first]]
+            self.slots[slot[first]] = left[first]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, slot = left[rest], slot[rest] + 1
+        points = [(ord(p), i) for p, i in self.ids.items() if len(p) == 1]
+        self.point_ids = np.full(max((p for p, _ in points), default=0) + 2, -1, np.int64)  # the last one for all above
+        for p, i in points:
+            self.point_ids[p] = i
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, pair: np.ndarray) -> np.ndarray:
+        """The number of the merge of each pair of pieces; that of the last, empty one if there is none."""
+        slot = self._slot(pair)
+        found = self.slots[slot]
+        none = len(self.pair) - 1
+        lost = np.flatnonzero((self.pair[found] != pair) & (found != none))
+        while len(lost):
+            slot[lost] += 1
+            found[lost] = self.slots[slot[lost]]
+            lost = lost[(self.pair[found[lost]] != pair[lost]) & (found[lost] != none)]
+        return found
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -99,6 +132,26 @@ def words_of(text: str) -> list[str]:
     return out if text else []
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of many texts, as words_of finds them, and how many each text has."""
+    if pc.any(pc.match_substring(texts, MARK)).as_py():
+        every = [words_of(t or "") for t in texts.to_pylist()]
+        return pa.array([w for words in every for w in words], pa.large_string()), np.fromiter(map(len, every), np.int64, len(every))
+    full = pc.if_else(pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0), pc.binary_join_element_wise(" ", texts, ""), "").cast(pa.large_string())
+    ends = np.append(0, np.cumsum(pc.binary_length(full).to_numpy(zero_copy_only=False))).astype(np.int64)
+    _, offsets, data = full.buffers()
+    if not ends[-1]:
+        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+    data = data.slice(int(np.frombuffer(offsets, np.int64)[full.offset]), int(ends[-1]))
+    byte = np.frombuffer(data, np.uint8)
+    begins = np.ones(len(byte), bool)
+    begins[1:] = (byte[1:] == 32) & (byte[:-1] != 32) | (byte[:-1] == 10)
+    begins[ends[:-1][np.diff(ends) > 0]] = True
+    starts = np.flatnonzero(begins)
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(byte)).astype(np.int64)), data])
+    return words, np.diff(np.searchsorted(starts, ends))
+
+
 def _try(pos: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A number for a candidate merge, by its place in the word and its pieces."""
     with np.errstate(over="ignore"):
@@ -121,16 +174,14 @@ def _skipped(keyed: np.ndarray, tries: np.ndarray, dropout: float) -> np.ndarray
 def _symbols(words: list[str], v: Vocabulary) -> np.ndarray:
     """The pieces of single characters; -1 - code point for a character without one."""
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    at = np.minimum(np.searchsorted(v.points, points), len(v.points) - 1)
-    return np.where(v.points[at] == points, v.point_ids[at], -1 - points)
+    ids = v.point_ids[np.minimum(points, len(v.point_ids) - 1)]
+    return np.where(ids >= 0, ids, -1 - points)
 
 
 def _candidates(left: np.ndarray, right: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Score (minus infinity: none) and piece of the merge of two pieces."""
-    pair = left << 32 | right
-    at = np.minimum(np.searchsorted(v.pair, pair), len(v.pair) - 1)
-    good = (v.pair[at] == pair) & (left >= 0) & (right >= 0)
-    return np.where(good, v.score[at], -np.inf), v.made[at]
+    at = v.find(np.where((left >= 0) & (right >= 0), left << 32 | right, -1))
+    return v.score[at], v.made[at]
 
 
 def agenda(word: str, key: int, v: Vocabulary, seed: int, dropout: float) -> list[int]:
@@ -302,11 +353,29 @@ class Encoder:
 
     def _encode(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of occurrences of words, one after the other, and how many each has."""
+        listed = pa.array(words, pa.large_string()).dictionary_encode()
+        return self._spell(listed.dictionary.to_pylist(), listed.indices.to_numpy(), keys)
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        """The path of each of some different words without a skip; -1 for those that have an agenda of their own."""
         if len(self.paths) > self.words or self.tries.n > self.most:
             self._forget()
-        new = [w for w in set(words).difference(self.paths) if 0 < len(w) <= LONG]
-        self.paths.update(zip(new, self._learn(new, np.full(len(new), -1)).tolist(), strict=True))
         path = np.fromiter(map(self.paths.get, words, repeat(-1)), np.int64, len(words))
+        lack = [i for i in np.flatnonzero(path < 0).tolist() if 0 < len(words[i]) <= LONG]
+        new = [words[i] for i in lack]
+        path[lack] = self._learn(new, np.full(len(new), -1))
+        self.paths.update(zip(new, path[lack].tolist(), strict=True))
+        return path
+
+    def _spell(self, words: list[str], which: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the words of those numbers."""
+        plain = self._known(words)
+        parts = [self._part(words, plain, which[i : i + PART], keys[i : i + PART]) for i in range(0, max(1, len(which)), PART)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return ids, sizes
+
+    def _part(self, words: list[str], plain: np.ndarray, which: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        path = plain[which]
         if self.dropout > 0:
             keyed = _keyed(self.seed, keys)
             known = np.flatnonzero(path >= 0)
@@ -314,13 +383,13 @@ class Encoder:
             who = known[who]
             lack, one = np.unique(at[self.after.data[at] < 0], return_index=True)
             of = who[self.after.data[at] < 0][one]
-            learnt = self._learn([words[i] for i in of.tolist()], lack - self.tries_at.data[path[of]])
+            learnt = self._learn([words[i] for i in which[of].tolist()], lack - self.tries_at.data[path[of]])
             self.after.data[lack] = learnt
             path[who] = self.after.data[at]
             path[who[self._first(keyed[who], path[who])[0]]] = -1
         own, known = np.flatnonzero(path < 0), np.flatnonzero(path >= 0)
-        spelt = encode_words([(words[i], k) for i, k in zip(own.tolist(), keys[own].tolist(), strict=True)], self.v, self.seed, self.dropout)
-        sizes = np.zeros(len(words), np.int64)
+        spelt = encode_words([(words[i], k) for i, k in zip(which[own].tolist(), keys[own].tolist(), strict=True)], self.v, self.seed, self.dropout)
+        sizes = np.zeros(len(path), np.int64)
         sizes[known] = self.ids_n.data[path[known]]
         sizes[own] = np.fromiter(map(len, spelt), np.int64, len(spelt)) // 4
         starts = np.cumsum(sizes) - sizes
@@ -329,22 +398,24 @@ class Encoder:
         out[_ranges(starts[own], sizes[own])] = np.frombuffer(b"".join(spelt), "<u4")
         return out, sizes
 
+    def encode_lists(self, keys: np.ndarray, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text (null: none), which has a 64-bit key."""
+        words, counts = _split(texts)
+        ends = np.append(0, np.cumsum(counts))
+        with np.errstate(over="ignore"):
+            base = mix(keys.astype(np.int64).view(np.uint64)) * np.uint64(3) + mix(np.array([self.seed & (2**64 - 1)], np.uint64))
+            places = mix(np.repeat(base, counts) + (np.arange(ends[-1]) - np.repeat(ends[:-1], counts)).astype(np.uint64))
+        listed = words.dictionary_encode()
+        spelt = pc.replace_substring(listed.dictionary, " ", MARK).to_pylist()
+        ids, sizes = self._spell(spelt, listed.indices.to_numpy(), places.view(np.int64))
+        cuts = np.append(0, np.cumsum(sizes))[ends]
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32)))
+
     def encode(self, keys: list[int | None], texts: list[str | None]) -> list[bytes]:
-        words: list[str] = []
-        places, ends = [np.zeros(0, np.uint64)], [0]
-        for key, text in zip(keys, texts, strict=True):
-            words += words_of(text or "")
-            with np.errstate(over="ignore"):
-                base = mix(np.array([(key or 0) & (2**64 - 1), self.seed & (2**64 - 1)], np.uint64))
-                places.append(mix(base[0] * np.uint64(3) + base[1] + np.arange(len(words) - ends[-1], dtype=np.uint64)))
-            ends.append(len(words))
-        every = np.concatenate(places).view(np.int64)
-        parts = [self._encode(words[i : i + PART], every[i : i + PART]) for i in range(0, len(words), PART)]
-        if not parts:
-            return [b""] * len(texts)
-        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        cuts = np.append(0, np.cumsum(sizes))[ends].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        """The same as little-endian 32-bit numbers."""
+        ids = self.encode_lists(np.array([k or 0 for k in keys], np.int64), pa.array(texts, pa.string()))
+        flat, cuts = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
+        return [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, source: bool = False) -> DataFrame:
@@ -354,18 +425,20 @@ def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, sou
     The same seed, doc_id and text always give the same ids; dropout 0 gives the model's own.  A null or empty text has no
     ids; rows that repeat a doc_id are encoded alike, a null doc_id counts as 0."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    return docs.select("doc_id", "text").mapInArrow(tidy(_encoded(shared, seed, dropout, source)), "doc_id long, ids array<int>" + ", source string" * source)
+
 
+def _encoded(shared, seed: int, dropout: float, source: bool):
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, seed, dropout)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                found = [np.frombuffer(b, "<u4") for b in encoder.encode(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                ids = encoder.encode_lists(part.column(0).fill_null(0).to_numpy(), part.column(1))
                 names = ["doc_id", "ids"] + ["source"] * source
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, part.column(1)][: len(names)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(encoded), "doc_id long, ids array<int>" + ", source string" * source)
+    return encoded
 
 
 def decode(tokens: DataFrame, model: str, ids: str = "ids", to: str = "text") -> DataFrame:
@@ -375,11 +448,22 @@ def decode(tokens: DataFrame, model: str, ids: str = "ids", to: str = "text") ->
     shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     rest = [c for c in tokens.columns if c != to]
     at, schema = rest.index(ids), tokens.select(*rest).schema.add(to, "string")
+    return tokens.select(*rest).mapInArrow(tidy(_decoded(shared, at, [*rest, to])), schema)
+
 
+def _decoded(shared, at: int, names: list[str]):
     def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, shared.value.texts(part.column(at))], names=[*rest, to])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, shared.value.texts(part.column(at))], names=names)
 
-    return tokens.select(*rest).mapInArrow(tidy(decoded), schema)
+    return decoded
+
+
+def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1) -> DataFrame:
+    """doc_id, ids, source, text: encode with its source and then decode, in one pass of Python workers.  text comes from the
+    ids alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    encoded, decoded = _encoded(shared, seed, dropout, True), _decoded(shared, 1, ["doc_id", "ids", "source", "text"])
+    return docs.select("doc_id", "text").mapInArrow(tidy(lambda batches: decoded(encoded(batches))), "doc_id long, ids array<int>, source string, text string")

@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -56,6 +57,9 @@ def test_operator(frame):
     assert sorted((repr(r.doc_id), r.text) for r in got) == sorted((repr(d), t or "") for d, t in rows)
     twice = [r.ids for r in got if r.doc_id == 1]
     assert twice[0] == twice[1] and [r.ids for r in got if r.doc_id in (2, 3)] == [[], []]
+    one = S.round_trip(docs, PATH, seed=5, dropout=0.2).collect()
+    assert sorted((repr(r.doc_id), r.ids, r.text, r.source or "") for r in one) == sorted((repr(r.doc_id), r.ids, r.text, r.text) for r in got)
+    assert S.round_trip(frame([]), PATH).collect() == []
     assert S.encode(frame([]), PATH).collect() == [] and S.decode(S.encode(frame([]), PATH), PATH).collect() == []
 
 
@@ -66,6 +70,20 @@ def test_decode_on_a_table(spark):
     assert sorted((r.k, r.text) for r in got.collect()) == [(1, "some text, é亜\n"), (2, ""), (3, None), (4, "\U0001f600 x")]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), TEXT), max_size=6))
+def test_words_of_many_texts_at_once(texts):
+    words, counts = S._split(pa.array(texts, pa.string()))
+    want = [S.words_of(t or "") for t in texts]
+    assert [w.replace(" ", S.MARK) for w in words.to_pylist()] == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
+
+
+def test_every_merge_is_found():
+    pairs = np.concatenate([V.pair[:-1], V.pair[:-1] + 1, [-1]])
+    known = {p: i for i, p in enumerate(V.pair[:-1].tolist())}
+    assert V.find(pairs).tolist() == [known.get(p, len(known)) for p in pairs.tolist()]
+
+
 def brute_agenda(word, key, seed, dropout):
     """Over again: of all neighbours that make a piece and weren't skipped the best, the first of equals; it is merged, or
     skipped if its hash says so."""
