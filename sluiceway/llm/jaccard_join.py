@@ -16,6 +16,7 @@ The result is exact: a bound only ever drops pairs that can't reach the threshol
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -54,7 +55,7 @@ def _codes(c: pa.Array) -> np.ndarray:
 
 def describe(docs: DataFrame, words: int, prints: bool = False) -> DataFrame:
     """Per document doc_id, n, key (and a digest of its text, if prints); and, with a null key, partial counts of shingles
-    by block of counters.  Counts stop at 65535 in a task; they only decide on the order of shingles."""
+    by block of counters, compressed: a task of few rows writes little.  Counts stop at 65535 in a task; they only decide on the order of shingles."""
 
     def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, count, seen = ["doc_id", "n", "key", "print", "block", "counts"], np.zeros(COUNTERS, np.uint32), set()
@@ -71,7 +72,7 @@ def describe(docs: DataFrame, words: int, prints: bool = False) -> DataFrame:
         if seen:
             parts = np.minimum(count, 65535).astype("<u2").reshape(BLOCKS, -1)
             none = pa.nulls(BLOCKS)
-            yield _columns(names, none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()))
+            yield _columns(names, none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()))
 
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) if prints else F.lit(None).cast("binary")
     rows = docs.select("doc_id", "text", digest.alias("print"))
@@ -85,16 +86,17 @@ def counted(described: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = zlib.decompress(data)
                 part = np.frombuffer(data, "<u2" if len(data) == 2 * COUNTERS // BLOCKS else "<u4")
                 total[block] = np.minimum(total.get(block, 0) + part.astype(np.uint64), 2**32 - 1)
-        yield _columns(["block", "counts"], pa.array(list(total), pa.int32()), pa.array([t.astype("<u4").tobytes() for t in total.values()], pa.binary()))
+        yield _columns(["block", "counts"], pa.array(list(total), pa.int32()), pa.array([zlib.compress(t.astype("<u4").tobytes(), 1) for t in total.values()], pa.binary()))
 
     rows = described.filter("block is not null").select("block", "counts", F.floor(F.spark_partition_id() / 16).alias("group"))
     rows = rows.repartition("block", "group").select("block", "counts").mapInArrow(summed, "block int, counts binary")
     rows = rows.repartition("block").mapInArrow(summed, "block int, counts binary")
     out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint32)
-    for r in rows.collect():  # BLOCKS rows, 16 MB in all
-        out[r["block"]] = np.frombuffer(r["counts"], "<u4")
+    for r in rows.collect():  # BLOCKS rows, 16 MB in all when unpacked
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
     return out.ravel()
 
 
